@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
+import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,10 +37,41 @@ def shared_dir(spark: SparkSession) -> str:
     return here
 
 
+def scratch_dir(spark: SparkSession) -> str:
+    """This application's own folder below the shared one."""
+    return f"{shared_dir(spark)}/ferrule-{spark.sparkContext.applicationId}"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint: what follows survives the loss of executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut the lineage with a table written to the shared folder: what follows survives the loss of executors.
+
+    Unlike a checkpoint, a written table tells the planner its true size. (A checkpoint keeps the estimate of its
+    plan, which joins multiply; over the rounds of a loop that number alone takes minutes to compute.)
+    """
+    path = f"{scratch_dir(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete the application's cut tables; call it after the results that come from them are written."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the library to the Python workers, as --py-files would; once for each application."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    package = Path(__file__).resolve().parent
+    if package.parent.is_dir():  # else the library itself was loaded from a zip that the workers have
+        made = shutil.make_archive(str(Path(tempfile.mkdtemp(prefix="spark-ferrule-")) / package.name), "zip", package.parent, package.name)
+        sc.addPyFile(made)
+    _SHIPPED.add(sc.applicationId)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -19,53 +19,51 @@ from ferrule.session import cut
 MAX_WRAPPERS = 4
 
 
-def _shape(v: Column) -> Column:
-    return F.schema_of_variant(v)
+def _opened(df: DataFrame, variant: str, keep: list[str]) -> DataFrame:
+    """keep + (variant, shape): a JSON text inside of JSON is read as what it spells; `shape` begins with the value's type.
 
-
-def _is(v: Column, kind: str) -> Column:
-    return v.isNotNull() & F.coalesce(_shape(v).startswith(kind), F.lit(False))
-
-
-def _opened(v: Column) -> Column:
-    """A JSON text inside of JSON is read as what it spells; other values stay."""
-    text = F.when(_is(v, "STRING"), F.try_variant_get(v, "$", "string"))
-    return F.when(_is(v, "STRING"), F.coalesce(F.try_parse_json(F.when(text.rlike(r"^\s*[\[{]"), text)), v)).otherwise(v)
+    The result is written before anything filters on the shape, else the planner would copy the parsing into each use.
+    """
+    text = F.when(F.col("shape") == "STRING", F.try_variant_get(variant, "$", "string"))
+    spelled = F.try_parse_json(F.when(text.rlike(r"^\s*[\[{]"), text))
+    return cut(
+        df.select(*keep, variant, F.schema_of_variant(variant).alias("shape"))
+        .select(*keep, F.when(F.col("shape") == "STRING", F.coalesce(spelled, F.col(variant))).otherwise(F.col(variant)).alias(variant))
+        .select(*keep, variant, F.substring(F.schema_of_variant(variant), 1, 16).alias("shape"))
+    )
 
 
-def parse_answer(raw: Column) -> Column:
-    """The JSON of an answer as VARIANT: the whole text, else what stands from its first bracket to its last.
+def parse_answers(df: DataFrame, record: str, raw: str) -> DataFrame:
+    """(record, answer): the JSON of each answer as VARIANT: the whole text, else from its first bracket to its last.
 
     Fences and prose around the JSON are dropped. Null, empty and faulty texts give null.
     """
     body = F.regexp_extract(raw, r"(?s)[\[{].*[\]}]", 0)
-    return _opened(F.coalesce(F.try_parse_json(raw), F.try_parse_json(F.when(body != "", body))))
+    return df.select(F.col(record).alias("record"), F.coalesce(F.try_parse_json(raw), F.try_parse_json(F.when(body != "", body))).alias("answer"))
 
 
 def _children(df: DataFrame, variant: str, keep: list[str]) -> DataFrame:
     """Members of objects and lists: keep + (pos, key, value)."""
-    view = df.select(*keep, F.col(variant).alias("_v")).where(_is(F.col("_v"), "ARRAY") | _is(F.col("_v"), "OBJECT"))
-    exploded = view.lateralJoin(view.sparkSession.tvf.variant_explode(F.col("_v").outer()))
-    return exploded.select(*keep, "pos", "key", "value")
+    view = df.where("shape LIKE 'ARRAY%' OR shape LIKE 'OBJECT%'").select(*keep, F.col(variant).alias("_v"))
+    return view.lateralJoin(view.sparkSession.tvf.variant_explode(F.col("_v").outer())).select(*keep, "pos", "key", "value")
 
 
-def find_member(df: DataFrame, record: str, variant: str, key: str) -> DataFrame:
+def find_member(answers: DataFrame, key: str) -> DataFrame:
     """(record, node): the value under `key`, in the answer itself or in the nearest wrapper that has it.
 
-    An answer that is a bare list, with no wrapper's member in it, counts as the list looked for.
+    answers: (record, answer). An answer that is a bare list, with no such member inside, counts as the list itself.
     """
-    have = lambda v: _is(v, "OBJECT") & F.coalesce(F.try_variant_get(v, f"$.{key}", "variant").isNotNull(), F.lit(False))
-    level = df.select(F.col(record).alias("record"), F.col(variant).alias("v"))
-    bare = level.where(_is(F.col("v"), "ARRAY"))
-    found = None
+    level = _opened(answers, "answer", ["record"])
+    bare, found = level.where("shape LIKE 'ARRAY%'").select("record", F.col("answer").alias("node")), None
     for _ in range(MAX_WRAPPERS):
-        hit = level.where(have(F.col("v"))).select("record", F.try_variant_get("v", f"$.{key}", "variant").alias("node"))
+        looked = cut(level.withColumn("node", F.when(F.col("shape").startswith("OBJECT"), F.try_variant_get("answer", f"$.{key}", "variant"))))
+        hit = looked.where("node IS NOT NULL").select("record", "node")
         found = hit if found is None else found.unionByName(hit)
-        inner = _children(level.where(~have(F.col("v"))), "v", ["record"]).select("record", _opened(F.col("value")).alias("v"))
-        level = cut(inner.where(_is(F.col("v"), "OBJECT") | _is(F.col("v"), "ARRAY")))
+        inner = _children(looked.where("node IS NULL"), "answer", ["record"]).select("record", F.col("value").alias("answer"))
+        level = _opened(inner, "answer", ["record"]).where("shape LIKE 'ARRAY%' OR shape LIKE 'OBJECT%'")
         if level.isEmpty():
             break
-    return found.unionByName(bare.join(found, "record", "left_anti").select("record", F.col("v").alias("node")))
+    return found.unionByName(bare.join(found, "record", "left_anti"))
 
 
 def _items(nodes: DataFrame) -> DataFrame:
@@ -73,33 +71,34 @@ def _items(nodes: DataFrame) -> DataFrame:
 
     Null and empty items keep their positions and are then left out.
     """
-    opened = nodes.withColumn("node", _opened(F.col("node")))
-    one = opened.where(_is(F.col("node"), "OBJECT")).select("record", "parent", "level", F.lit(0).alias("pos"), F.col("node").alias("item"))
-    many = _children(opened.where(_is(F.col("node"), "ARRAY")), "node", ["record", "parent", "level"]).select(
-        "record", "parent", "level", "pos", F.col("value").alias("item")
+    keys = ["record", "parent", "level"]
+    opened = _opened(nodes, "node", keys)
+    one = opened.where("shape LIKE 'OBJECT%'").select(*keys, F.lit(0).alias("pos"), F.col("node").alias("item"))
+    many = _children(opened.where("shape LIKE 'ARRAY%'"), "node", keys).select(*keys, "pos", F.col("value").alias("item"))
+    items = cut(
+        one.unionByName(many)
+        .withColumn("kind", F.substring(F.schema_of_variant("item"), 1, 16))
+        .withColumn("blank", F.coalesce(F.trim(F.try_variant_get("item", "$", "string")) == "", F.lit(False)))
     )
-    shape = _shape(F.col("item"))
-    blank = F.coalesce(F.trim(F.try_variant_get("item", "$", "string")) == "", F.lit(False))
-    full = F.col("item").isNotNull() & ~shape.isin("VOID", "OBJECT<>", "ARRAY<>", "ARRAY<VOID>") & ~((shape == "STRING") & blank)
     here = F.concat(F.when(F.col("parent").isNull(), "").otherwise(F.concat("parent", F.lit("."))), F.col("pos").cast("string"))
-    return one.unionByName(many).where(full).withColumn("path", here)
+    full = ~F.col("kind").isin("VOID", "OBJECT<>", "ARRAY<>", "ARRAY<VOID>") & ~((F.col("kind") == "STRING") & F.col("blank"))
+    return items.where(full).select(*keys, "pos", here.alias("path"), "item")
 
 
 def explode_levels(nodes: DataFrame, child_key: str) -> DataFrame:
-    """All items at any depth: (record, level, parent, pos, path, item).
+    """All items at any depth: (record, parent, level, pos, path, item).
 
     nodes: (record, node), `node` a VARIANT list, object or JSON text. The items under an item's `child_key` are its
     children. (record, path) is an item's key and (record, parent) its parent's; parent is null at the top level.
     """
-    level = nodes.select("record", F.lit(None).cast("string").alias("parent"), F.lit(0).alias("level"), "node")
-    out = None
+    level, out = nodes.select("record", F.lit(None).cast("string").alias("parent"), F.lit(0).alias("level"), "node"), None
     while True:
-        items = cut(_items(level))
+        items = _items(level)
         out = items if out is None else out.unionByName(items)
         if items.isEmpty():
             return out
         child = F.try_variant_get("item", f"$.{child_key}", "variant")
-        level = items.select("record", F.col("path").alias("parent"), (F.col("level") + 1).alias("level"), child.alias("node")).where("node IS NOT NULL")
+        level = items.select("record", F.col("path").alias("parent"), (F.col("level") + 1).alias("level"), child.alias("node"))
 
 
 def merged_schema(items: DataFrame) -> dict[str, str]:
@@ -107,7 +106,7 @@ def merged_schema(items: DataFrame) -> dict[str, str]:
 
     Types that don't agree come out as VARIANT. The schema is one value, as large as the names that occur.
     """
-    ddl = items.where(_is(F.col("item"), "OBJECT")).select(F.schema_of_variant_agg("item")).first()[0] or ""
+    ddl = items.where(F.schema_of_variant("item").startswith("OBJECT")).select(F.schema_of_variant_agg("item")).first()[0] or ""
     body, fields, depth, start = re.sub(r"^OBJECT<|>$", "", ddl), {}, 0, 0
     for i, c in enumerate(body + ","):
         depth += (c == "<") - (c == ">")

@@ -42,9 +42,8 @@ def _synthesis_items(spark: SparkSession, sf: str) -> DataFrame:
         .where("synth_id IS NOT NULL AND raw IS NOT NULL")
         .select("synth_id", "raw")
         .distinct()
-        .select("synth_id", nested.parse_answer(F.col("raw")).alias("answer"))
     )
-    return nested.explode_levels(nested.find_member(answers, "synth_id", "answer", "structs"), "fields")
+    return nested.explode_levels(nested.find_member(nested.parse_answers(answers, "synth_id", "raw"), "structs"), "fields")
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:

@@ -3,15 +3,33 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ferrule.llm import encode as enc
+from ferrule.llm import truncation
 from ferrule.session import table
 
 
+def _answers(spark: SparkSession, sf: str) -> DataFrame:
+    raw = table(spark, sf, "responses").select(F.lit("raw").alias("field"), F.col("response_id").alias("record_id"), "model", F.col("raw").alias("value"))
+    comments = table(spark, sf, "results").select(F.lit("comments").alias("field"), F.col("result_id").alias("record_id"), "model", F.col("comments").alias("value"))
+    return raw.unionByName(comments)
+
+
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    return truncation.truncated(_answers(spark, sf))
+
+
+def p2_rates(spark: SparkSession, sf: str) -> DataFrame:
+    """For each field and model the share of its non-empty values that lost their end."""
+    values = _answers(spark, sf)
+    return truncation.truncation_rates(values, truncation.truncated(values))
+
+
 def p5_ids(spark: SparkSession, sf: str) -> DataFrame:
     return enc.encode(table(spark, sf, "documents"))
 
 
-QUERIES = {"p5_ids": p5_ids}
+QUERIES = {"p2_found": p2_found, "p2_rates": p2_rates, "p5_ids": p5_ids}
 
 SQL: dict[str, str] = {}

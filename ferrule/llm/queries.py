@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ferrule.llm import encode as enc
-from ferrule.llm import truncation
+from ferrule.llm import packing, spam, truncation
 from ferrule.session import table
 
 
@@ -30,6 +30,43 @@ def p5_ids(spark: SparkSession, sf: str) -> DataFrame:
     return enc.encode(table(spark, sf, "documents"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_rates": p2_rates, "p5_ids": p5_ids}
+def p5_offsets(spark: SparkSession, sf: str) -> DataFrame:
+    """Ids with the byte offset of each, and whether they spell the text again."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    ids = enc.encode(docs, offsets=True)
+    spelled = enc.decode(ids).withColumnRenamed("text", "spelled")
+    return ids.join(spelled, "doc_id").join(docs, "doc_id").select(
+        "doc_id", F.size("ids").alias("n_tokens"), F.element_at("starts", -1).alias("last_start"), (F.col("spelled") == F.coalesce("text", F.lit(""))).alias("same")
+    )
+
+
+def _sizes(spark: SparkSession, sf: str) -> tuple[DataFrame, list[int]]:
+    """Sizes of all documents in tokens and the models' distinct capacities (a dimension of a few rows)."""
+    limits = table(spark, sf, "model_limits").where("tokenizer = 'byte_bpe_50k' AND capacity_tokens > 0").select("capacity_tokens").distinct()
+    return enc.token_counts(table(spark, sf, "documents")), sorted(r[0] for r in limits.collect())
+
+
+def p6_containers(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.pack(*_sizes(spark, sf))
+
+
+def p6_report(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.fill_report(packing.pack(*_sizes(spark, sf)))
+
+
+def p6_buckets(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.bucket_report(*_sizes(spark, sf))
+
+
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    return spam.spam_pages(table(spark, sf, "documents")).select("doc_id")
+
+
+def p7_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """The flagged pages with their group, distance and direction."""
+    return spam.spam_pages(table(spark, sf, "documents")).select("doc_id", "grp", "d2", "cosine")
+
+
+QUERIES = {"p2_found": p2_found, "p2_rates": p2_rates, "p5_ids": p5_ids, "p5_offsets": p5_offsets, "p6_containers": p6_containers, "p6_report": p6_report, "p6_buckets": p6_buckets, "p7_found": p7_found, "p7_scores": p7_scores}
 
 SQL: dict[str, str] = {}

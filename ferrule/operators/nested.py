@@ -48,6 +48,11 @@ def _children(df: DataFrame, variant: str, keep: list[str]) -> DataFrame:
     return view.lateralJoin(view.sparkSession.tvf.variant_explode(F.col("_v").outer())).select(*keep, "pos", "key", "value")
 
 
+def members(df: DataFrame, variant: str, keep: list[str]) -> DataFrame:
+    """keep + (pos, key, value): the members of VARIANT objects and lists; other values have none."""
+    return _children(_opened(df, variant, keep), variant, keep)
+
+
 def find_member(answers: DataFrame, key: str) -> DataFrame:
     """(record, node): the value under `key`, in the answer itself or in the nearest wrapper that has it.
 

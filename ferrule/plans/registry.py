@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ferrule.plans import general
+from ferrule.plans import general, reference
 
-FLAGSHIP = "p4_callers"
-MODULES = [general]
+FLAGSHIP = "d7_conflicts"
+MODULES = [general, reference]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -405,7 +405,7 @@ SQL = {
     "f12_confidences": f"""WITH {_P}, x AS (SELECT response_id, generate_subscripts(s, 1) - 1 AS pos, unnest(s) AS said FROM (
         SELECT response_id, regexp_extract_all(raw, '"confidence": "?([^",}}\n]*)', 1) AS s FROM q)),
         v AS (SELECT *, try_cast(trim(rtrim(trim(said), '%')) AS DOUBLE) AS d FROM x)
-        SELECT response_id, pos::INT AS pos, coalesce(greatest(0, least(100, round_even(CASE WHEN d > 0 AND d < 1 THEN d * 100 ELSE d END, 0))), 0)::INT AS score FROM v""",
+        SELECT response_id, pos::INT AS pos, CASE WHEN d IS NULL OR isnan(d) THEN 0 ELSE greatest(0, least(100, round_even(CASE WHEN d > 0 AND d < 1 THEN d * 100 ELSE d END, 0))) END::INT AS score FROM v""",
     "f12_addresses": f"""WITH {_P} SELECT response_id, pos::INT AS pos, {_ADDRESS} AS address FROM (SELECT response_id, generate_subscripts(s, 1) - 1 AS pos, unnest(s) AS x FROM (
         SELECT response_id, regexp_extract_all(raw, '"address": "?([0-9a-fA-Fx]+)', 1) AS s FROM q))""",
     "f13_fences": f"""WITH {_P} SELECT response_id, md5(CASE WHEN regexp_matches(raw, '(?s)```[a-zA-Z]*[ \\t]*\\n.*?```') THEN regexp_extract(raw, '(?s)```[a-zA-Z]*[ \\t]*\\n(.*?)\\n?```', 1)

@@ -59,3 +59,38 @@ def signature(text: Column) -> Column:
             (F.size(parts) == 0).alias("unspecified"),
         ),
     )
+
+
+# fixed values: names of one type
+TYPE_ALIASES = {
+    "uint": "int", "byte": "char", "undefined4": "int", "undefined8": "long", "undefined2": "short", "undefined1": "char",
+    "bool": "int", "dword": "int", "qword": "long", "word": "short",
+}
+
+
+def plain_type(text: Column) -> Column:
+    """A C type without const and signedness, aliases resolved, stars kept."""
+    bare = F.trim(F.regexp_replace(F.replace(F.replace(F.replace(text, F.lit("const"), F.lit("")), F.lit("unsigned"), F.lit("")), F.lit("signed"), F.lit("")), r"\s+", " "))
+    base = F.regexp_replace(bare, r"\s*\**$", "")
+    stars = F.substring(bare, F.length(base) + 1, F.length(bare))
+    table = F.create_map(*[F.lit(x) for kv in TYPE_ALIASES.items() for x in kv])
+    return F.trim(F.concat(F.coalesce(F.try_element_at(table, base), base), stars))
+
+
+def param_types(text: Column) -> Column:
+    """Plain types of a signature's parameters, split at every comma; a name behind a type or a star is dropped."""
+    inner = F.trim(F.regexp_extract(text, SIGNATURE, 3))
+    each = lambda p: F.when(p.rlike(r"\*\s*\w*$"), F.regexp_replace(p, r"\w*$", "")).otherwise(F.regexp_replace(p, r"\s+\S+$", ""))
+    parts = F.transform(F.split(inner, ","), lambda p: plain_type(F.trim(each(F.trim(p)))))
+    return F.when((inner == "") | (inner == "void"), F.array().cast("array<string>")).otherwise(parts)
+
+
+def type_accuracy(predicted: Column, truth: Column) -> Column:
+    """1 for equal texts; else .4 for the return type, .3 for the number of parameters, .3 for the share that agrees."""
+    p, t = param_types(predicted), param_types(truth)
+    back = lambda c: plain_type(F.regexp_extract(c, SIGNATURE, 1))
+    same = F.size(F.filter(F.arrays_zip(p.alias("p"), t.alias("t")), lambda x: x["p"] == x["t"]))
+    most = F.greatest(F.size(p), F.size(t))
+    agree = F.when(most == 0, 0.3).when((F.size(p) == 0) | (F.size(t) == 0), 0.0).otherwise(0.3 * same / most)
+    parts = F.when(back(predicted) == back(truth), 0.4).otherwise(0.0) + F.when(F.size(p) == F.size(t), 0.3).otherwise(0.0) + agree
+    return F.when(predicted == truth, 1.0).otherwise(parts)

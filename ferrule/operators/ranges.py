@@ -66,3 +66,25 @@ def byte_windows(df: DataFrame, key: str, data: str, window: int = 512, stride:
     starts = F.sequence(F.lit(0), (F.ceil(last / stride) if keep_tail else F.floor(last / stride)).cast("int") * stride, F.lit(stride))
     out = df.where(n > 0).select(key, n.alias("_n"), F.explode(starts).alias("start"))
     return out.select(key, "start", F.least(F.lit(window), F.col("_n") - F.col("start")).alias("length"))
+
+
+def label_runs(df: DataFrame, key: str, labels: Column) -> DataFrame:
+    """(key, start, stop): the stretches that a label 1 opens and labels 2 continue, in a text of one label each.
+
+    A further 1 closes a stretch and opens the next, any other label closes it; a 2 without a 1 before it opens none.
+    """
+    runs = df.select(key, F.posexplode(F.regexp_extract_all(labels, F.lit("12*|[^1]+"), F.lit(0))).alias("pos", "run"))
+    ended = runs.withColumn("end", F.sum(F.length("run")).over(Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)))
+    size = F.when(F.col("run").startswith("1"), F.length("run"))
+    return ended.where(size.isNotNull()).select(key, (F.col("end") - size).alias("start"), F.col("end").alias("stop"))
+
+
+def class_scores(df: DataFrame, keys: list[str], truth: str, predicted: str) -> DataFrame:
+    """(keys, label, tp, fp, fn, precision, recall, f1): scores of each label, 0 where a denominator is 0; null truths don't count."""
+    known = df.where(F.col(truth).isNotNull())
+    one = lambda c, t, p: known.select(*keys, F.col(c).alias("label"), t.cast("int").alias("t"), p.cast("int").alias("p"), (F.col(truth) == F.col(predicted)).cast("int").alias("hit"))
+    both = one(truth, F.lit(True), F.lit(False)).unionByName(one(predicted, F.lit(False), F.lit(True)).where("label IS NOT NULL"))
+    counted = both.groupBy(*keys, "label").agg(F.sum("t").alias("t"), F.sum("p").alias("p"), F.sum(F.when(F.col("t") == 1, F.coalesce("hit", F.lit(0))).otherwise(0)).alias("tp"))
+    ratio = lambda a, b: F.when(b == 0, 0.0).otherwise(a / b)
+    tp, t, p = F.col("tp"), F.col("t"), F.col("p")
+    return counted.select(*keys, "label", "tp", (p - tp).alias("fp"), (t - tp).alias("fn"), ratio(tp, p).alias("precision"), ratio(tp, t).alias("recall"), ratio(2 * tp, t + p).alias("f1"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ferrule.operators.hierarchy import resolve
 from ferrule.session import cut
 
 
@@ -45,3 +46,19 @@ def degrees(nodes: DataFrame, links: DataFrame) -> DataFrame:
     one = lambda end, a, b: links.select("scope", F.col(end).alias("node"), F.lit(a).alias("a"), F.lit(b).alias("b"))
     every = nodes.select("scope", "node", F.lit(0).alias("a"), F.lit(0).alias("b")).unionByName(one("below", 1, 0)).unionByName(one("above", 0, 1))
     return every.groupBy("scope", "node").agg(F.sum("a").alias("n_above"), F.sum("b").alias("n_below"))
+
+
+def chains(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(scope, chain, pos, node): maximal runs of nodes in which each has one node above and that one has one below.
+
+    `chain` is the run's first node. Runs of one node and pure cycles aren't chains; a node linked to itself breaks one.
+    """
+    d = cut(degrees(nodes, links))
+    single = links.join(d.where("n_above = 1").select("scope", F.col("node").alias("below")), ["scope", "below"], "left_semi").join(
+        d.where("n_below = 1").select("scope", F.col("node").alias("above")), ["scope", "above"], "left_semi"
+    )
+    held = cut(single.where("above <> below").select("scope", F.col("below").alias("node"), "above"))
+    members = held.select("scope", "node").unionByName(held.select("scope", F.col("above").alias("node"))).distinct()
+    pointers = members.join(held, ["scope", "node"], "left").withColumn("in_cycle", F.lit(False))
+    lines, _ = resolve(pointers)
+    return lines.where("NOT circle").select("scope", F.col("path")[0]["id"].alias("chain"), (F.size("path") - 1).alias("pos"), "node")

@@ -135,6 +135,19 @@ def w11_byte_windows(spark: SparkSession, sf: str) -> DataFrame:
     return infer.unionByName(ranges.byte_windows(docs, "doc_id", "text", keep_tail=False).withColumn("rule", F.lit("training")))
 
 
+def w13_boundaries(spark: SparkSession, sf: str) -> DataFrame:
+    """Stretches of letters that a capital opens, in all documents."""
+    labels = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", "[^A-Za-z]", "0"), "[A-Z]", "1"), "[a-z]", "2")
+    return ranges.label_runs(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", labels)
+
+
+def a13_class_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """How well the size tells the classification that functions have."""
+    f = b.functions(spark, sf).select("binary_id", F.nullif(F.lower(F.trim("classification")), F.lit("")).alias("truth"), review.size_class(F.col("size"), F.col("is_thunk")).alias("guess"))
+    s = ranges.class_scores(f, ["binary_id"], "truth", "guess")
+    return s.select("binary_id", "label", "tp", "fp", "fn", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
+
+
 def t4_calls_per_minute(spark: SparkSession, sf: str) -> DataFrame:
     """For each answer the number of answers of its model in the 60 seconds up to it."""
     timed = b.responses(spark, sf).select("response_id", "model", "received_at")
@@ -228,6 +241,24 @@ def f20_name_accuracy(spark: SparkSession, sf: str) -> DataFrame:
     return both.select("binary_id", "address", F.round(names.symbol_accuracy(F.col("predicted"), F.col("truth")), 6).alias("accuracy"))
 
 
+def f23_type_accuracy(spark: SparkSession, sf: str) -> DataFrame:
+    """How well first signatures agree with the refined ones, averaged by binary; both must be signatures."""
+    r = b.results(spark, sf).where(review.usable() & F.col("signature").rlike(parsing.SIGNATURE))
+    first = r.where("NOT coalesce(refined, false)").groupBy("binary_id", "address").agg(F.min(F.struct("result_id", "signature"))["signature"].alias("p"))
+    truth = r.where("refined").groupBy("binary_id", "address").agg(F.min(F.struct("result_id", "signature"))["signature"].alias("t"))
+    both = first.join(truth, ["binary_id", "address"])
+    return both.select("binary_id", "address", F.round(parsing.type_accuracy(F.col("p"), F.col("t")), 6).alias("accuracy"))
+
+
+def g4_chains(spark: SparkSession, sf: str) -> DataFrame:
+    c = reach.chains(*hierarchy.call_links(table(spark, sf, "call_graph")))
+    return c.select(F.col("scope").alias("binary_id"), "chain", "pos", F.col("node").alias("address"))
+
+
+def g8_source_edges(spark: SparkSession, sf: str) -> DataFrame:
+    return docs_io.source_edges(table(spark, sf, "documents"), "doc_id", "text")
+
+
 def a6_unified_structs(spark: SparkSession, sf: str) -> DataFrame:
     return review.unify_structs(table(spark, sf, "proposals"))
 
@@ -292,6 +323,7 @@ def t3_user_state(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {k: v for k, v in list(globals().items()) if callable(v) and k[:1] in "acdfgjklstwx" and k[1:2].isdigit()}
 
+_CONTROL = ", ".join(f"'{x}'" for x in docs_io.CONTROL)
 _F = "f AS (SELECT DISTINCT ON (binary_id, address) * FROM function_info)"
 _R = "r AS (SELECT DISTINCT ON (result_id) * FROM results)"
 _L = _R + """, last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY binary_id, address
@@ -380,6 +412,18 @@ SQL = {
         (SELECT count(*) FROM links l WHERE l.b = n.b AND l.u = n.v) AS n_below FROM nodes n""",
     "g2_closure": f"""WITH RECURSIVE {_LINKS}, c AS (SELECT DISTINCT binary_id AS b, address AS v FROM function_info WHERE is_thunk
         UNION SELECT l.b, l.v FROM c JOIN links l ON l.b = c.b AND l.u = c.v) SELECT b AS binary_id, v AS address FROM c""",
+    "g4_chains": f"""WITH RECURSIVE {_LINKS}, one AS (SELECT b, u, v FROM links l WHERE u <> v AND (SELECT count(*) FROM links x WHERE x.b = l.b AND x.v = l.v) = 1
+            AND (SELECT count(*) FROM links x WHERE x.b = l.b AND x.u = l.u) = 1),
+        c AS (SELECT DISTINCT b, u AS chain, 0 AS pos, u AS node FROM one o WHERE NOT EXISTS (SELECT 1 FROM one x WHERE x.b = o.b AND x.v = o.u)
+            UNION ALL SELECT c.b, chain, pos + 1, o.v FROM c JOIN one o ON o.b = c.b AND o.u = c.node)
+        SELECT b AS binary_id, chain, pos, node AS address FROM c""",
+    "g8_source_edges": f"""WITH d AS (SELECT doc_id, regexp_extract(text, '@name\\s+(\\S+)', 1) AS name, regexp_extract(text, '@address\\s+(0x[0-9a-fA-F]+)', 1) AS a,
+            regexp_extract(text, '(?s)\\{{(.*)$', 1) AS body FROM documents WHERE text IS NOT NULL),
+        x AS (SELECT *, a::BIGINT AS caller FROM d WHERE regexp_matches(a, '^0x[0-9a-fA-F]{{1,15}}$') AND name <> ''),
+        known AS (SELECT name, arg_max(caller, doc_id) AS known FROM x GROUP BY name),
+        calls AS (SELECT DISTINCT caller, unnest(regexp_extract_all(body, '([A-Za-z_][A-Za-z0-9_]*)\\s*\\(', 1)) AS n FROM x)
+        SELECT DISTINCT caller, callee FROM (SELECT caller, coalesce(known, CASE WHEN regexp_matches(n, '^(?:thunk_)?FUN_[0-9a-fA-F]{{8}}$') THEN ('0x' || right(n, 8))::BIGINT END) AS callee
+            FROM calls LEFT JOIN known ON name = n WHERE n NOT IN ({_CONTROL})) WHERE callee IS NOT NULL""",
     "g10_invalidated": f"""WITH {_LINKS}, ch AS (SELECT DISTINCT binary_id AS b, address AS v FROM results WHERE refined)
         SELECT b AS binary_id, v AS address FROM ch UNION SELECT l.b, l.u FROM links l JOIN ch ON ch.b = l.b AND ch.v = l.v""",
     "l1_queue": _P1 + """, rel AS (SELECT DISTINCT r.b, x.s, y.s AS down FROM reach r JOIN step x ON x.b = r.b AND x.v = r.u JOIN step y ON y.b = r.b AND y.v = r.v),
@@ -396,6 +440,16 @@ SQL = {
         SELECT doc_id, n, 'inference' AS rule, unnest(range(0, 1 + 256 * ceil(greatest(n - 512, 0) / 256)::BIGINT, 256)) AS start FROM d
         UNION ALL SELECT doc_id, n, 'training', unnest(range(0, 1 + 256 * floor(greatest(n - 512, 0) / 256)::BIGINT, 256)) FROM d)
         SELECT doc_id, start::INT AS start, least(512, n - start)::INT AS length, rule FROM s""",
+    "w13_boundaries": """WITH l AS (SELECT doc_id, regexp_extract_all(regexp_replace(regexp_replace(regexp_replace(text, '[^A-Za-z]', '0', 'gs'), '[A-Z]', '1', 'g'), '[a-z]', '2', 'g'), '12*|[^1]+') AS r FROM documents WHERE text IS NOT NULL),
+        x AS (SELECT doc_id, generate_subscripts(r, 1) AS pos, unnest(r) AS run FROM l), y AS (SELECT *, sum(length(run)) OVER (PARTITION BY doc_id ORDER BY pos) AS e FROM x)
+        SELECT doc_id, (e - length(run))::BIGINT AS start, e::BIGINT AS stop FROM y WHERE run LIKE '1%'""",
+    "a13_class_scores": f"""WITH {_F}, g AS (SELECT binary_id, nullif(lower(trim(classification)), '') AS t, CASE WHEN coalesce(is_thunk, false) THEN 'thunk' WHEN size <= 16 THEN 'trivial' WHEN size <= 64 THEN 'small'
+            WHEN size <= 256 THEN 'medium' WHEN size IS NOT NULL THEN 'large' END AS p FROM f), k AS (SELECT * FROM g WHERE t IS NOT NULL),
+        l AS (SELECT binary_id, t AS label FROM k UNION SELECT binary_id, p FROM k WHERE p IS NOT NULL),
+        c AS (SELECT l.binary_id, label, count(*) FILTER (t = label AND p = label) AS tp, count(*) FILTER (p = label AND t <> label) AS fp,
+            count(*) FILTER (t = label AND p IS DISTINCT FROM label) AS fn FROM l JOIN k ON k.binary_id = l.binary_id GROUP BY ALL)
+        SELECT *, round(CASE WHEN tp + fp = 0 THEN 0 ELSE tp / (tp + fp) END, 6) AS precision, round(CASE WHEN tp + fn = 0 THEN 0 ELSE tp / (tp + fn) END, 6) AS recall,
+            round(CASE WHEN 2 * tp + fp + fn = 0 THEN 0 ELSE 2 * tp / (2 * tp + fp + fn) END, 6) AS f1 FROM c""",
     "t4_calls_per_minute": f"""WITH {_P} SELECT response_id, count(*) OVER (PARTITION BY model ORDER BY received_at
         RANGE BETWEEN INTERVAL 59999999 MICROSECONDS PRECEDING AND CURRENT ROW) AS in_window FROM q WHERE received_at IS NOT NULL""",
     "a8_usage": f"""WITH {_P} SELECT model, count(*) AS calls, coalesce(sum(input_tokens), 0)::BIGINT AS input_tokens,

@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from ferrule.functions import code, names, parsing
-from ferrule.operators import ranges, review
+from ferrule.operators import ranges, reach, review
 from ferrule.sources import documents as io
 from ferrule.streaming import folds
 
@@ -75,3 +75,34 @@ def test_stream_equals_batch(spark, tmp_path):
     df.write.parquet(str(tmp_path / "events"))
     stream = folds.drain(spark, str(tmp_path / "events"), folds.hourly_counts, df.schema)
     assert sorted(map(tuple, stream.collect())) == sorted(map(tuple, folds.hourly_counts(df).collect()))
+
+
+def test_types(spark):
+    pairs = [("void foo(undefined4 x)", "void foo(int x)"), ("int f(void)", "int f()"), ("void f(int a)", "int f(int a, char *b)"), ("x", "x")]
+    got = values(spark, F.round(parsing.type_accuracy(F.col("a"), F.col("b")), 4), *pairs, ddl="a string, b string")
+    assert got == [1.0, 1.0, 0.15, 1.0]
+    assert values(spark, parsing.plain_type(F.col("a")), "const unsigned  char *", "undefined8 * *", "uint") == ["char *", "undefined8 * *", "int"]
+
+
+def test_chains(spark):
+    links = [(1, 0, 1), (1, 1, 2), (1, 2, 3), (1, 2, 4), (2, 0, 1), (2, 1, 0), (3, 5, 5), (3, 5, 6)]
+    nodes = spark.createDataFrame(sorted({(s, x) for s, a, c in links for x in (a, c)}), "scope long, node long")
+    got = reach.chains(nodes, spark.createDataFrame(links, "scope long, above long, below long")).collect()
+    assert sorted((r.scope, r.chain, r.pos, r.node) for r in got) == [(1, 0, 0, 0), (1, 0, 1, 1), (1, 0, 2, 2)]
+
+
+def test_source_edges(spark):
+    text = "/**\n * @name %s\n * @address %s\n */\nint %s(void)\n{\n  %s\n}"
+    rows = [
+        (1, text % ("a", "0x10", "a", "b(); if (x) { b(1); } FUN_0045f2c0(); gone();")), (2, text % ("b", "0x20", "b", "b(); thunk_FUN_00456700();")), (3, "prose a()"), (4, None),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(tuple(r) for r in io.source_edges(df, "doc_id", "text").collect()) == [(16, 32), (16, 0x45F2C0), (32, 32), (32, 0x456700)]
+
+
+def test_runs_and_scores(spark):
+    df = spark.createDataFrame([("a", "122200120110"), ("b", "222"), ("c", ""), ("d", None)], "k string, l string")
+    assert sorted(tuple(r) for r in ranges.label_runs(df, "k", F.col("l")).collect()) == [("a", 0, 4), ("a", 6, 8), ("a", 9, 10), ("a", 10, 11)]
+    rows = spark.createDataFrame([(1, "x", "x"), (1, "x", "y"), (1, None, "x"), (1, "z", None)], "g int, t string, p string")
+    got = {r.label: (r.tp, r.fp, r.fn, r.f1) for r in ranges.class_scores(rows, ["g"], "t", "p").collect()}
+    assert got == {"x": (1, 0, 1, 2 / 3), "y": (0, 1, 0, 0.0), "z": (0, 0, 1, 0.0)}

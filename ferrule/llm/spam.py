@@ -40,7 +40,7 @@ LEET = str.maketrans("013457@$", "oieastas")
 MIXED = re.compile(r"(?<![\w#])(?=\w*[^\W\d_])(?!0x)[^\W_]*[0134578@$][^\W_]*(?:[0134578@$][^\W_]*)*")
 WORD = re.compile(r"[^\W\d_]+")
 CODE = re.compile(
-    r"[{};=*%\\^~&+]|->|\(\)|0x[0-9a-f]+|(?<!\.)\b(?=[a-f]*\d)[0-9a-f]{4,}\b|\b\d\d?:\d\d|(?<![\d.])\d{3,}(?![\d.])"
+    r"[{}=%\\^~&+]|;\s*$|(?<=\w) ?\*|->|\(\)|0x[0-9a-f]+|(?<!\.)\b(?=[a-f]*\d)[0-9a-f]{4,}\b|\b\d\d?:\d\d|(?<![\d.])\d{3,}(?![\d.])"
     r"|\b[0-9a-f]{2}(?= [0-9a-f]{2}\b)|^\s*#\s*(?:define|include|ifn?def|endif|pragma)\b",
     re.I | re.M,
 )

@@ -63,3 +63,19 @@ def crypto_algorithms(text: Column) -> Column:
 def negative_literals(text: Column) -> Column:
     """`+ -N` written as `- N`, for decimal and hexadecimal numbers."""
     return F.regexp_replace(text, r"\+ -(0x[0-9a-fA-F]+|\d+)", "- $1")
+
+
+def flow(ref_type: Column) -> Column:
+    """fall_through, branch, call, computed or unknown, the first that the name of a flow type tells; null is unknown."""
+    has = ref_type.contains
+    return (
+        F.when(has("FALL_THROUGH"), "fall_through").when(has("CONDITIONAL_JUMP"), "branch").when(has("CALL"), "call").when(has("COMPUTED") | has("INDIRECT"), "computed").otherwise("unknown")
+    )
+
+
+def byte_tokens(text: Column, length: int, start: int, stop: int, pad: int) -> Column:
+    """The bytes of a text between a start and a stop id, cut or padded to a length; cutting may drop the stop id."""
+    digits = F.hex(F.encode(text, "utf-8"))
+    pairs = F.regexp_extract_all(digits, F.lit("(..)"), F.lit(1))
+    ids = F.concat(F.array(F.lit(start)), F.transform(pairs, lambda x: F.conv(x, 16, 10).cast("int")), F.array(F.lit(stop)))
+    return F.when(text.isNotNull(), F.slice(F.concat(ids, F.array_repeat(F.lit(pad), length)), 1, length))

@@ -94,3 +94,25 @@ def type_accuracy(predicted: Column, truth: Column) -> Column:
     agree = F.when(most == 0, 0.3).when((F.size(p) == 0) | (F.size(t) == 0), 0.0).otherwise(0.3 * same / most)
     parts = F.when(back(predicted) == back(truth), 0.4).otherwise(0.0) + F.when(F.size(p) == F.size(t), 0.3).otherwise(0.0) + agree
     return F.when(predicted == truth, 1.0).otherwise(parts)
+
+
+# fixed values: built-in types by name
+BUILTIN_TYPES = {
+    "byte": "byte", "char": "char", "short": "short", "int": "int", "long": "long", "long long": "longlong",
+    "uint8_t": "byte", "uint16_t": "ushort", "uint32_t": "uint", "uint64_t": "ulonglong",
+    "int8_t": "char", "int16_t": "short", "int32_t": "int", "int64_t": "longlong",
+    "unsigned int": "uint", "unsigned long": "ulong", "unsigned short": "ushort",
+}
+
+
+def resolved_type(text: Column, size: Column) -> Column:
+    """The built-in type that a C type means, with a star for each pointer level.
+
+    An unknown type, and null, is an undefined one of the size 1, 2, 4 or 8, else of 4; behind a pointer of 8.
+    """
+    t = F.trim(F.coalesce(text, F.lit("")))
+    depth = F.length(F.regexp_replace(F.regexp_extract(t, "[* ]+$", 0), " ", ""))
+    base = F.lower(F.trim(F.regexp_replace(t, "[* ]+$", "")))
+    table = F.create_map(*[F.lit(x) for kv in BUILTIN_TYPES.items() for x in kv])
+    sized = F.when(depth > 0, "undefined8").when(size.isin(1, 2, 4, 8), F.concat(F.lit("undefined"), size.cast("string"))).otherwise("undefined4")
+    return F.concat(F.coalesce(F.try_element_at(table, base), sized), F.repeat(F.lit("*"), depth))

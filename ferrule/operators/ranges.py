@@ -55,6 +55,27 @@ def calls_in_window(df: DataFrame, key: str, at: str, seconds: int, name: str =
     return both.withColumn(name, F.count(F.lit(1)).over(frame)).where("_own = 1").drop("_t", "_slice", "_own")
 
 
+def in_flight(df: DataFrame, key: str, start: str, stop: str, seconds: int, name: str = "in_flight") -> DataFrame:
+    """df with the number of rows of the same key that have started and not yet stopped at its own start, itself included.
+
+    A row stops before others start at the same time; one without a stop never stops, one that stops before it starts
+    counts as stopped at once. Rows without a start are left out, null keys are a key of their own. Starts and stops are
+    summed by time slice of `seconds`; only what changes inside of a slice is ordered, so a key with most rows is spread
+    over all its slices.
+    """
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    timed = df.where(F.col(start).isNotNull()).withColumn("_t", micros(start)).withColumn("_own", F.lit(True)).withColumn("_d", F.lit(1))
+    ends = timed.where(F.col(stop) > F.col(start)).withColumn("_t", micros(stop)).withColumn("_own", F.lit(False)).withColumn("_d", F.lit(-1))
+    at_once = F.col("_own") & F.coalesce(F.col(stop) <= F.col(start), F.lit(False))
+    log = timed.unionByName(ends).withColumn("_d", F.when(at_once, 0).otherwise(F.col("_d"))).withColumn("_slice", F.floor(F.col("_t") / (seconds * 1_000_000)))
+    sums = log.groupBy(key, "_slice").agg(F.sum("_d").alias("_s"))
+    before = sums.withColumn("_before", F.sum("_s").over(Window.partitionBy(key).orderBy("_slice")) - F.col("_s")).select(F.col(key).alias("_k"), F.col("_slice").alias("_at"), "_before")
+    inside = Window.partitionBy(key, "_slice").orderBy("_t").rangeBetween(Window.unboundedPreceding, 0)
+    running = log.withColumn("_run", F.sum("_d").over(inside)).where("_own")
+    met = running.join(before, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_slice") == F.col("_at")))
+    return met.withColumn(name, F.col("_before") + F.col("_run") + at_once.cast("int")).select(*df.columns, name)
+
+
 def byte_windows(df: DataFrame, key: str, data: str, window: int = 512, stride: int = 256, keep_tail: bool = True) -> DataFrame:
     """(key, start, length): windows over the bytes of a column.
 

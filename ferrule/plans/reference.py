@@ -339,6 +339,8 @@ _USABLE = "NOT coalesce(skipped, false) AND coalesce(error, '') = '' AND coalesc
 _GENERIC = "(lower(trim(coalesce(name, ''))) = '' OR regexp_matches(lower(trim(name)), '^({})') OR lower(trim(name)) IN ({}))".format(
     "|".join(names.GENERIC_PREFIXES), ", ".join(f"'{x}'" for x in names.GENERIC_NAMES)
 )
+_REASON = f"""CASE WHEN coalesce(skipped, false) THEN '' WHEN coalesce(error, '') <> '' THEN CASE WHEN length(error) > 240 THEN left(error, 240) || '…' ELSE error END
+        WHEN trim(coalesce(name, '')) = '' THEN 'no name' WHEN {_GENERIC} THEN 'generic name' WHEN coalesce(confidence, 0) < 80 THEN 'low confidence' ELSE '' END"""
 _DONE = "NOT coalesce(skipped, false) AND coalesce(error, '') = ''"
 _STATS = f"""SELECT binary_id, count(*) FILTER (coalesce(skipped, false)) AS skipped,
     count(*) FILTER (NOT coalesce(skipped, false) AND coalesce(error, '') <> '') AS errors, count(*) FILTER ({_DONE}) AS analyzed,
@@ -391,8 +393,7 @@ SQL = {
     "c2_analyzable": f"WITH {_F} SELECT binary_id, address FROM f WHERE {_CLASS} NOT IN ('imported', 'thunk')",
     "a3_class_counts": f"WITH {_F} SELECT {_CLASS} AS classification, count(*) AS n FROM f GROUP BY 1",
     "c4_generic_names": f"WITH {_R} SELECT result_id, {_GENERIC} AS generic FROM r",
-    "c6_refine_reason": f"""WITH {_R} SELECT result_id, CASE WHEN coalesce(skipped, false) THEN '' WHEN coalesce(error, '') <> '' THEN CASE WHEN length(error) > 240 THEN left(error, 240) || '…' ELSE error END
-        WHEN trim(coalesce(name, '')) = '' THEN 'no name' WHEN {_GENERIC} THEN 'generic name' WHEN coalesce(confidence, 0) < 80 THEN 'low confidence' ELSE '' END AS reason FROM r""",
+    "c6_refine_reason": f"""WITH {_R} SELECT result_id, {_REASON} AS reason FROM r""",
     "a1_stats": f"WITH {_L} {_STATS}",
     "a2_retracted": f"WITH {_L} {_STATS}",
     "a5_duplicate_names": f"""WITH {_L} SELECT binary_id, name, address, n FROM (SELECT binary_id, name, address, count(*) OVER (PARTITION BY binary_id, name) AS n

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ferrule.plans import general, reference
+from ferrule.plans import general, programs, reference
 
 FLAGSHIP = "d7_conflicts"
-MODULES = [general, reference]
+MODULES = [general, reference, programs]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

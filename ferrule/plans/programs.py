@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 from ferrule.functions import code, names, parsing
 from ferrule.operators import bindings as b
 from ferrule.operators import callsites, chunks, hierarchy, nested, ranges, reach, review
+from ferrule.plans.general import _NUMBER, _P3, p3_structs
 from ferrule.plans.reference import _CANON, _CLASS, _E, _F, _L, _LINKS, _NOISE, _P, _R, _REASON, _USABLE, _WORDS
 from ferrule.session import table
 
 SHARED, ALONE, MOST, SLICE = 1200, 2400, 8, 1 << 16
 BATCH, NAMES_BUDGET, MARK = 2000, 3000, "\n/* shortened */"
+WINDOW, STRIDE = 512, 256
 TOP, LISTED, PART = 50, 300, "fun"
 TOKENS, CLS, SEP, PAD = 64, 257, 258, 256  # fixed values: length and special ids of byte tokens
 CLASSES = ["thunk", *[n for _, n in review.SIZE_CLASSES], "large"]
@@ -185,6 +187,36 @@ def f36_param_types(spark: SparkSession, sf: str) -> DataFrame:
     return p.select("binary_id", "address", "pos", parsing.resolved_type(F.col("p.data_type"), F.col("p.size")).alias("resolved"))
 
 
+def l9_structs(spark: SparkSession, sf: str) -> DataFrame:
+    """The structs of all syntheses merged by binary: the first synthesis, and the first place in it, that has a name wins."""
+    found = p3_structs(spark, sf).where("name IS NOT NULL")
+    placed = found.join(table(spark, sf, "synthesis").select("synth_id", "binary_id").distinct(), "synth_id")
+    first = placed.groupBy("binary_id", "name").agg(F.min(F.struct("synth_id", "pos", "total_size")).alias("s"))
+    return first.select("binary_id", "name", F.col("s.synth_id").alias("synth_id"), F.col("s.total_size").alias("total_size"))
+
+
+def w12_votes(spark: SparkSession, sf: str) -> DataFrame:
+    """Labels of all bytes of all documents from windows that overlap: a capital opens a word (1), letters go on with it (2).
+
+    A window knows no letters of a word before its first capital, and trusts itself less towards its edges.
+    """
+    d = table(spark, sf, "documents").dropDuplicates(["doc_id"]).select("doc_id", F.encode("text", "utf-8").alias("bytes"))
+    w = ranges.byte_windows(d, "doc_id", "bytes", WINDOW, STRIDE).join(d, "doc_id")
+    # one character for each byte
+    signs = F.translate(F.decode(F.substring(F.col("bytes"), F.col("start") + 1, F.col("length")), "iso-8859-1"), "\n", " ")
+    kinds = F.regexp_replace(F.regexp_replace(F.regexp_replace(signs, "(?s)[^A-Za-z]", "0"), "[A-Z]", "1"), "[a-z]", "2")
+    known = w.select("doc_id", "start", "length", kinds.alias("k")).withColumn("first", F.instr("k", "1"))
+    early = F.when(F.col("first") == 0, F.length("k")).otherwise(F.col("first") - 1)
+    labels = F.concat(F.repeat(F.lit("0"), early), F.substring(F.col("k"), early + 1, F.length("k")))
+    sure = F.transform(F.sequence(F.lit(1), F.col("length")), lambda i: F.least(i, F.col("length") + 1 - i) / F.lit(float(WINDOW)))
+    return ranges.merge_votes(known.select("doc_id", "start", labels.alias("labels"), sure.alias("sure")), "doc_id", "start", "labels", "sure", 3, STRIDE).drop("confidences")
+
+
+def w14_painted(spark: SparkSession, sf: str) -> DataFrame:
+    """Bytes of each function that no later function of its binary covers."""
+    return ranges.painted(b.functions(spark, sf).select("binary_id", "address", "size"), ["binary_id"], "address", "size")
+
+
 def x2_names(spark: SparkSession, sf: str) -> DataFrame:
     """The name to show for each function: its last result's, else its own, else one made of the address."""
     last = b.latest_results(spark, sf).select("binary_id", "address", F.col("name").alias("found"))
@@ -242,7 +274,7 @@ def t3_after_reset(spark: SparkSession, sf: str) -> DataFrame:
     return last.select("user_id", "event_type", F.col("l.event_id").alias("event_id"), F.col("l.value").alias("value"))
 
 
-QUERIES = {k: v for k, v in list(globals().items()) if callable(v) and k[:1] in "acfjstwx" and k[1:2].isdigit()}
+QUERIES = {k: v for k, v in list(globals().items()) if callable(v) and k[:1] in "acfjlstwx" and k[1:2].isdigit()}
 
 
 def _walk(rows: str, keys: str, budget: int, most: int | None) -> str:
@@ -324,6 +356,18 @@ SQL = {
     "f36_param_types": f"""WITH {_F}, x AS (SELECT binary_id, address, generate_subscripts(params, 1) - 1 AS pos, unnest(params) AS p FROM f),
         y AS (SELECT binary_id, address, pos::INT AS pos, trim(coalesce(p.data_type, '')) AS t, p.size AS size, length(regexp_replace(regexp_extract(trim(coalesce(p.data_type, '')), '[* ]+$'), ' ', '', 'g')) AS depth FROM x WHERE p IS NOT NULL)
         SELECT binary_id, address, pos, ({_ALIAS}) || repeat('*', depth) AS resolved FROM y""",
+    "l9_structs": _P3 + f""", t AS (SELECT synth_id, pos, json_extract_string(item, '$.name') AS name, {_NUMBER.format("ts")} AS total_size FROM got WHERE level = 0),
+        m AS (SELECT binary_id, name, min(t.synth_id) AS synth_id, arg_min(coalesce(total_size, -1), (t.synth_id, pos)) AS z FROM t JOIN (SELECT DISTINCT synth_id, binary_id FROM synthesis) s ON s.synth_id = t.synth_id WHERE name IS NOT NULL GROUP BY 1, 2)
+        SELECT binary_id, name, synth_id, nullif(z, -1) AS total_size FROM m""",
+    "w12_votes": f"""WITH h AS (SELECT DISTINCT ON (doc_id) doc_id, hex(encode(text)) AS h, strlen(text)::INT AS n FROM documents WHERE strlen(text) > 0),
+        w AS (SELECT doc_id, h, n, unnest(range(0, 1 + {STRIDE} * ceil(greatest(n - {WINDOW}, 0) / {STRIDE})::BIGINT, {STRIDE})) AS start FROM h),
+        c AS (SELECT doc_id, start, least({WINDOW}, n - start) AS len, unnest(range(0, least({WINDOW}, n - start))) AS i, h[2 * (start + i) + 1:2 * (start + i) + 2] AS x FROM w),
+        k AS (SELECT *, min(CASE WHEN x BETWEEN '41' AND '5A' THEN i END) OVER (PARTITION BY doc_id, start) AS first FROM c),
+        v AS (SELECT doc_id, start + i AS p, CASE WHEN x BETWEEN '41' AND '5A' THEN 1 WHEN x BETWEEN '61' AND '7A' AND i > first THEN 2 ELSE 0 END AS l, least(i + 1, len - i) / {WINDOW}.0 AS c FROM k),
+        t AS (SELECT doc_id, p, l, sum(c) AS c FROM v GROUP BY ALL), best AS (SELECT doc_id, p, arg_max(l, (c, l)) AS l FROM t GROUP BY ALL)
+        SELECT doc_id, (p // {STRIDE} * {STRIDE})::INT AS start, string_agg(l::VARCHAR, '' ORDER BY p) AS labels FROM best GROUP BY 1, 2""",
+    "w14_painted": f"""WITH {_F}, e AS (SELECT binary_id, address, unnest(range(address, address + size)) AS b FROM f WHERE size > 0), l AS (SELECT binary_id, b, max(address) AS address FROM e GROUP BY ALL)
+        SELECT binary_id, address, count(*) AS n_bytes FROM l GROUP BY ALL""",
     "x2_names": f"""WITH {_F}, {_L} SELECT f.binary_id, f.address, coalesce(nullif(last.name, ''), nullif(f.name, ''), printf('FUN_%08x', f.address)) AS shown FROM f LEFT JOIN last ON last.binary_id = f.binary_id AND last.address = f.address""",
     "x12_pending": f"""WITH {_F}, {_L}, w AS (SELECT f.binary_id, f.address, refined, CASE WHEN result_id IS NULL THEN 'never' ELSE {_REASON} END AS reason
         FROM (SELECT binary_id, address FROM f) f LEFT JOIN (SELECT result_id, binary_id AS b, address AS a, name, error, skipped, confidence, refined FROM last) l ON b = f.binary_id AND a = f.address) SELECT binary_id, address, reason FROM w WHERE NOT coalesce(refined, false) AND reason <> ''""",

@@ -92,3 +92,33 @@ def test_small_functions(spark):
     assert [r[0] for r in ids] == [[257, 0x55, 0xC3, 0xA5, 258, 256], [257, 258, 256, 256, 256, 256], None, [257, *b"long "]]
     types = spark.createDataFrame([("uint8_t *", 8), ("Int", None), ("mine **", 2), ("mine", 2), (None, 3)], "a string, n int")
     assert [r[0] for r in types.select(parsing.resolved_type(F.col("a"), F.col("n"))).collect()] == ["byte*", "int", "undefined8**", "undefined2", "undefined4"]
+
+
+def test_merge_votes(spark):
+    rnd = random.Random(5)
+    rows = [(k, s, [(rnd.randrange(3), rnd.choice([0.25, 0.5, 1.0])) for _ in range(n)]) for k, s, n in [(1, 0, 8), (1, 4, 8), (1, 8, 6), (2, 0, 3), (3, 0, 0)]]
+    given = [(k, s, "".join(str(x) for x, _ in v), [c for _, c in v]) for k, s, v in rows]
+    df = spark.createDataFrame([*given, given[0], (4, 0, None, None), (None, 0, "1", [1.0])], "k long, s int, l string, c array<double>")
+    scores = {}
+    for k, s, v in rows:
+        for i, (label, c) in enumerate(v):
+            scores.setdefault((k, s + i), []).append((label, c))
+    want = {}
+    for (k, at), v in sorted(scores.items()):
+        best = max(((sum(c for x, c in v if x == n) / len(v), n) for n in range(3)))
+        want.setdefault((k, at // 4 * 4), []).append(best)
+    got = ranges.merge_votes(df, "k", "s", "l", "c", 3, 4).collect()
+    assert {(r.k, r.start): list(zip(r.confidences, map(int, r.labels))) for r in got} == want
+    assert ranges.merge_votes(df.limit(0), "k", "s", "l", "c", 3, 4).count() == 0
+
+
+def test_painted(spark):
+    rows = [(1, 0, 10), (1, 4, 2), (1, 8, 5), (1, 8, 3), (1, 20, 0), (1, None, 3), (1, 30, None), (2, 0, 4), (2, 0, 4), (1, 9, 1)]
+    want, owner = {}, {}
+    for k, s, n in sorted((r for r in rows if None not in r), key=lambda r: r[1]):
+        owner |= {(k, b): s for b in range(s, s + n)}
+    for (k, _), s in owner.items():
+        want[k, s] = want.get((k, s), 0) + 1
+    df = spark.createDataFrame(rows, "k long, s long, n int")
+    assert {(r.k, r.s): r.n_bytes for r in ranges.painted(df, ["k"], "s", "n").collect()} == want
+    assert ranges.painted(df.limit(0), ["k"], "s", "n").count() == 0

@@ -33,13 +33,17 @@ def _opened(df: DataFrame, variant: str, keep: list[str]) -> DataFrame:
     )
 
 
-def parse_answers(df: DataFrame, record: str, raw: str) -> DataFrame:
+def parse_answers(df: DataFrame, record: str, raw: str, repair: bool = False) -> DataFrame:
     """(record, answer): the JSON of each answer as VARIANT: the whole text, else from its first bracket to its last.
 
-    Fences and prose around the JSON are dropped. Null, empty and faulty texts give null.
+    Fences and prose around the JSON are dropped. Null, empty and faulty texts give null; with `repair`, a text that is
+    faulty otherwise is read without the commas that stand before a closing bracket.
     """
     body = F.regexp_extract(raw, r"(?s)[\[{].*[\]}]", 0)
-    return df.select(F.col(record).alias("record"), F.coalesce(F.try_parse_json(raw), F.try_parse_json(F.when(body != "", body))).alias("answer"))
+    tries = [F.try_parse_json(raw), F.try_parse_json(F.when(body != "", body))]
+    if repair:
+        tries.append(F.try_parse_json(F.when(body != "", F.regexp_replace(body, r",(\s*[}\]])", "$1"))))
+    return df.select(F.col(record).alias("record"), F.coalesce(*tries).alias("answer"))
 
 
 def _children(df: DataFrame, variant: str, keep: list[str]) -> DataFrame:
@@ -53,6 +57,13 @@ def members(df: DataFrame, variant: str, keep: list[str]) -> DataFrame:
     return _children(_opened(df, variant, keep), variant, keep)
 
 
+def list_items(df: DataFrame, variant: str, keep: list[str]) -> DataFrame:
+    """keep + (pos, value): the members of a VARIANT list, or the one object in a list's place at 0; other values have none."""
+    opened = _opened(df, variant, keep)
+    listed = _children(opened.where("shape LIKE 'ARRAY%'"), variant, keep).select(*keep, "pos", "value")
+    return listed.unionByName(opened.where("shape LIKE 'OBJECT%'").select(*keep, F.lit(0).alias("pos"), F.col(variant).alias("value")))
+
+
 def find_member(answers: DataFrame, key: str) -> DataFrame:
     """(record, node): the value under `key`, in the answer itself or in the nearest wrapper that has it.
 

@@ -14,7 +14,7 @@ from ferrule.session import table
 
 SHARED, ALONE, MOST, SLICE = 1200, 2400, 8, 1 << 16
 BATCH, NAMES_BUDGET, MARK = 2000, 3000, "\n/* shortened */"
-WINDOW, STRIDE = 512, 256
+WINDOW, STRIDE, CALLERS, CALLEES = 512, 256, 3, 5
 TOP, LISTED, PART = 50, 300, "fun"
 TOKENS, CLS, SEP, PAD = 64, 257, 258, 256  # fixed values: length and special ids of byte tokens
 CLASSES = ["thunk", *[n for _, n in review.SIZE_CLASSES], "large"]
@@ -217,6 +217,22 @@ def w14_painted(spark: SparkSession, sf: str) -> DataFrame:
     return ranges.painted(b.functions(spark, sf).select("binary_id", "address", "size"), ["binary_id"], "address", "size")
 
 
+def f14_entries(spark: SparkSession, sf: str) -> DataFrame:
+    """Name and confidence of each entry of each answer: the items of a list or the one object; JSON that is faulty beyond spare commas has none."""
+    answers = nested.parse_answers(b.responses(spark, sf).where("raw IS NOT NULL"), "response_id", "raw", repair=True)
+    flat = nested.list_items(answers, "answer", ["record"])
+    said = lambda k: F.try_variant_get("value", f"$.{k}", "string")
+    return flat.select(F.col("record").alias("response_id"), "pos", said("name").alias("name"), parsing.confidence(said("confidence")).alias("score")).where("name <> ''")
+
+
+def x1_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    """For each function the three callers and five callees with the lowest addresses, as a prompt shows them."""
+    _, links = hierarchy.call_links(table(spark, sf, "call_graph"))
+    one = lambda own, other, side, n: links.where("above <> below").select(F.col("scope").alias("binary_id"), F.col(own).alias("address"), F.lit(side).alias("side"), F.col(other).alias("neighbour")).selectExpr(
+        "*", "row_number() OVER (PARTITION BY binary_id, address ORDER BY neighbour) AS rank").where(F.col("rank") <= n)
+    return one("below", "above", "caller", CALLERS).unionByName(one("above", "below", "callee", CALLEES))
+
+
 def x2_names(spark: SparkSession, sf: str) -> DataFrame:
     """The name to show for each function: its last result's, else its own, else one made of the address."""
     last = b.latest_results(spark, sf).select("binary_id", "address", F.col("name").alias("found"))
@@ -368,6 +384,13 @@ SQL = {
         SELECT doc_id, (p // {STRIDE} * {STRIDE})::INT AS start, string_agg(l::VARCHAR, '' ORDER BY p) AS labels FROM best GROUP BY 1, 2""",
     "w14_painted": f"""WITH {_F}, e AS (SELECT binary_id, address, unnest(range(address, address + size)) AS b FROM f WHERE size > 0), l AS (SELECT binary_id, b, max(address) AS address FROM e GROUP BY ALL)
         SELECT binary_id, address, count(*) AS n_bytes FROM l GROUP BY ALL""",
+    "f14_entries": f"""WITH {_P}, j AS (SELECT response_id, coalesce(try_cast(raw AS JSON), try_cast(nullif(regexp_extract(raw, '(?s)[\\[{{].*[\\]}}]'), '') AS JSON)) AS j FROM q WHERE raw IS NOT NULL),
+        o AS (SELECT response_id, CASE json_type(j) WHEN 'OBJECT' THEN [j] WHEN 'ARRAY' THEN json_extract(j, '$[*]') END AS l FROM j),
+        e AS (SELECT response_id, generate_subscripts(l, 1) - 1 AS pos, unnest(l) AS e FROM o), v AS (SELECT response_id, pos, json_extract_string(e, '$.name') AS name, json_extract_string(e, '$.confidence') AS said FROM e),
+        d AS (SELECT *, try_cast(trim(rtrim(trim(said), '%')) AS DOUBLE) AS d FROM v)
+        SELECT response_id, pos::INT AS pos, name, CASE WHEN d IS NULL OR isnan(d) THEN 0 ELSE greatest(0, least(100, round_even(CASE WHEN d > 0 AND d < 1 THEN d * 100 ELSE d END, 0))) END::INT AS score FROM d WHERE name <> ''""",
+    "x1_neighbours": f"""WITH {_LINKS} SELECT b AS binary_id, v AS address, 'caller' AS side, u AS neighbour, row_number() OVER (PARTITION BY b, v ORDER BY u)::INT AS rank FROM links WHERE u <> v QUALIFY rank <= {CALLERS}
+        UNION ALL SELECT b, u, 'callee', v, row_number() OVER (PARTITION BY b, u ORDER BY v)::INT AS rank FROM links WHERE u <> v QUALIFY rank <= {CALLEES}""",
     "x2_names": f"""WITH {_F}, {_L} SELECT f.binary_id, f.address, coalesce(nullif(last.name, ''), nullif(f.name, ''), printf('FUN_%08x', f.address)) AS shown FROM f LEFT JOIN last ON last.binary_id = f.binary_id AND last.address = f.address""",
     "x12_pending": f"""WITH {_F}, {_L}, w AS (SELECT f.binary_id, f.address, refined, CASE WHEN result_id IS NULL THEN 'never' ELSE {_REASON} END AS reason
         FROM (SELECT binary_id, address FROM f) f LEFT JOIN (SELECT result_id, binary_id AS b, address AS a, name, error, skipped, confidence, refined FROM last) l ON b = f.binary_id AND a = f.address) SELECT binary_id, address, reason FROM w WHERE NOT coalesce(refined, false) AND reason <> ''""",

@@ -1,5 +1,6 @@
 import json
 
+from pyspark.sql import functions as F
 from ferrule.operators import nested, skew
 
 
@@ -60,3 +61,13 @@ def test_profile_against_brute_force(spark):
     none = df.where("false")
     assert skew.heavy_keys(none, "k", "v", 0.02).count() == 0
     assert skew.key_profile(none, ["k"], {"nv": ["v"]}).count() == 0
+
+
+def test_list_items_and_repair(spark):
+    raws = ['[{"a": 1}, 2]', '{"a": [1, 2,],}', "x", None, "", 'so:\n```json\n{"a": "b,}"}\n```', "7", "[]"]
+    df = spark.createDataFrame(list(enumerate(raws)), "i long, raw string")
+    plain = {r.record for r in nested.parse_answers(df, "i", "raw").where("answer IS NOT NULL").collect()}
+    assert plain == {0, 5, 6, 7}
+    items = nested.list_items(nested.parse_answers(df, "i", "raw", repair=True), "answer", ["record"])
+    got = items.select("record", "pos", F.to_json("value").alias("v")).collect()
+    assert sorted((r.record, r.pos, r.v) for r in got) == [(0, 0, '{"a":1}'), (0, 1, "2"), (1, 0, '{"a":[1,2]}'), (5, 0, '{"a":"b,}"}')]

@@ -1,6 +1,7 @@
 import json
 
 from pyspark.sql import functions as F
+
 from ferrule.operators import nested, skew
 
 

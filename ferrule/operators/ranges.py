@@ -78,8 +78,8 @@ def in_flight(df: DataFrame, key: str, start: str, stop: str, seconds: int, name
     return met.withColumn(name, F.col("_before") + F.col("_run") + at_once.cast("int")).select(*df.columns, name)
 
 
-def byte_windows(df: DataFrame, key: str, data: str, window: int = 512, stride: int = 256, keep_tail: bool = True) -> DataFrame:
-    """(key, start, length): windows over the bytes of a column.
+def byte_windows(df: DataFrame, key: str, data: str, window: int = 512, stride: int = 256, keep_tail: bool = True, slices: str | None = None) -> DataFrame:
+    """(key, start, length): windows over the bytes of a column, with the bytes themselves in the column `slices` if named.
 
     keep_tail: a last, shorter window covers the end (as for inference); else it is dropped where the data are longer
     than one window (as for training). Empty and null data have no windows.
@@ -87,8 +87,10 @@ def byte_windows(df: DataFrame, key: str, data: str, window: int = 512, stride:
     n = F.octet_length(F.col(data))
     last = F.greatest(n - window, F.lit(0))
     starts = F.sequence(F.lit(0), (F.ceil(last / stride) if keep_tail else F.floor(last / stride)).cast("int") * stride, F.lit(stride))
-    out = df.where(n > 0).select(key, n.alias("_n"), F.explode(starts).alias("start"))
-    return out.select(key, "start", F.least(F.lit(window), F.col("_n") - F.col("start")).alias("length"))
+    held = [F.col(data).cast("binary").alias("_data")] if slices else []
+    out = df.where(n > 0).select(key, n.alias("_n"), *held, F.explode(starts).alias("start"))
+    part = [F.substring(F.col("_data"), F.col("start") + 1, F.lit(window)).alias(slices)] if slices else []
+    return out.select(key, "start", F.least(F.lit(window), F.col("_n") - F.col("start")).alias("length"), *part)
 
 
 def merge_votes(windows: DataFrame, key: str, start: str, labels: str, confidences: str, n_labels: int, stride: int) -> DataFrame:

@@ -200,10 +200,9 @@ def w12_votes(spark: SparkSession, sf: str) -> DataFrame:
 
     A window knows no letters of a word before its first capital, and trusts itself less towards its edges.
     """
-    d = table(spark, sf, "documents").dropDuplicates(["doc_id"]).select("doc_id", F.encode("text", "utf-8").alias("bytes"))
-    w = ranges.byte_windows(d, "doc_id", "bytes", WINDOW, STRIDE).join(d, "doc_id")
-    # one character for each byte
-    signs = F.translate(F.decode(F.substring(F.col("bytes"), F.col("start") + 1, F.col("length")), "iso-8859-1"), "\n", " ")
+    d = table(spark, sf, "documents").select("doc_id", "text").dropDuplicates(["doc_id"])
+    w = ranges.byte_windows(d, "doc_id", "text", WINDOW, STRIDE, slices="bytes")
+    signs = F.translate(F.decode("bytes", "iso-8859-1"), "\n", " ")  # one character for each byte
     kinds = F.regexp_replace(F.regexp_replace(F.regexp_replace(signs, "(?s)[^A-Za-z]", "0"), "[A-Z]", "1"), "[a-z]", "2")
     known = w.select("doc_id", "start", "length", kinds.alias("k")).withColumn("first", F.instr("k", "1"))
     early = F.when(F.col("first") == 0, F.length("k")).otherwise(F.col("first") - 1)

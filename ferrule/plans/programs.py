@@ -204,11 +204,9 @@ def w12_votes(spark: SparkSession, sf: str) -> DataFrame:
     w = ranges.byte_windows(d, "doc_id", "text", WINDOW, STRIDE, slices="bytes")
     signs = F.translate(F.decode("bytes", "iso-8859-1"), "\n", " ")  # one character for each byte
     kinds = F.regexp_replace(F.regexp_replace(F.regexp_replace(signs, "(?s)[^A-Za-z]", "0"), "[A-Z]", "1"), "[a-z]", "2")
-    known = w.select("doc_id", "start", "length", kinds.alias("k")).withColumn("first", F.instr("k", "1"))
-    early = F.when(F.col("first") == 0, F.length("k")).otherwise(F.col("first") - 1)
-    labels = F.concat(F.repeat(F.lit("0"), early), F.substring(F.col("k"), early + 1, F.length("k")))
+    labels = F.regexp_replace(kinds, r"\G[02]", "0")  # all up to the first capital
     sure = F.transform(F.sequence(F.lit(1), F.col("length")), lambda i: F.least(i, F.col("length") + 1 - i) / F.lit(float(WINDOW)))
-    return ranges.merge_votes(known.select("doc_id", "start", labels.alias("labels"), sure.alias("sure")), "doc_id", "start", "labels", "sure", 3, STRIDE).drop("confidences")
+    return ranges.merge_votes(w.select("doc_id", "start", labels.alias("labels"), sure.alias("sure")), "doc_id", "start", "labels", "sure", 3, STRIDE).drop("confidences")
 
 
 def w14_painted(spark: SparkSession, sf: str) -> DataFrame:

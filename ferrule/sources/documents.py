@@ -78,21 +78,29 @@ def log_line(at: Column, level: Column, kind: Column, message: Column, error: Co
     return F.when((F.coalesce(error, F.lit("")) != "") & (F.instr(message, error) == 0), F.concat(base, F.lit(": "), error)).otherwise(base)
 
 
+#: Where a text is split into exported functions, and a comment in front of a body: the tags, then the brief as prose.
+BLOCK, LEADING = r"(?md)^(?=/\*\*$)", r"(?s)\A\s*/\*.*?\*/\s*"
 CALL, PLACEHOLDER = r"([A-Za-z_][A-Za-z0-9_]*)\s*\(", r"^(?:thunk_)?FUN_([0-9a-fA-F]{8})$"
 
 
+def source_blocks(texts: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, block, text): the exported functions of each text, which begin at lines `/**`; a text without such a line is one block."""
+    return texts.select(F.col(key).alias("key"), F.posexplode(F.split(text, BLOCK)).alias("block", "text"))
+
+
 def source_edges(texts: DataFrame, key: str, text: str) -> DataFrame:
-    """Distinct (caller, callee) addresses recovered from exported functions, one text each.
+    """Distinct (caller, callee) addresses recovered from exported functions, one or more in each text.
 
     The comment's @name and @address tell the caller, names before `(` in the body the callees: a known name's address
-    (the last text with it), else the address in a placeholder name; other names are dropped. Recursion stays.
+    (the last function with it), else the address in a placeholder name; other names are dropped. Recursion stays. The
+    body begins at the first brace behind the two leading comments.
     """
-    head = F.regexp_extract(text, r"@address\s+(0x[0-9a-fA-F]+)", 1)
-    own = F.regexp_extract(text, r"@name\s+(\S+)", 1)
-    body = F.regexp_extract(text, r"(?s)\{(.*)$", 1)
-    rows = texts.select(F.col(key).alias("key"), own.alias("name"), parsing.address(head).alias("caller"), F.array_distinct(F.regexp_extract_all(body, F.lit(CALL), F.lit(1))).alias("called"))
+    head = F.regexp_extract("text", r"@address\s+(0x[0-9a-fA-F]+)", 1)
+    own = F.regexp_extract("text", r"@name\s+(\S+)", 1)
+    body = F.regexp_extract(F.regexp_replace(F.regexp_replace("text", LEADING, ""), LEADING, ""), r"(?s)\{(.*)$", 1)
+    rows = source_blocks(texts, key, text).select("key", "block", own.alias("name"), parsing.address(head).alias("caller"), F.array_distinct(F.regexp_extract_all(body, F.lit(CALL), F.lit(1))).alias("called"))
     rows = rows.where("caller IS NOT NULL AND name <> ''")
-    known = rows.groupBy(F.col("name").alias("callee_name")).agg(F.max(F.struct("key", "caller"))["caller"].alias("known"))
+    known = rows.groupBy(F.col("name").alias("callee_name")).agg(F.max(F.struct("key", "block", "caller"))["caller"].alias("known"))
     calls = rows.select("caller", F.explode("called").alias("callee_name")).where(~F.col("callee_name").isin(CONTROL)).distinct()
     digits = F.regexp_extract("callee_name", PLACEHOLDER, 1)
     placeholder = F.when(digits != "", F.conv(digits, 16, 10).cast("bigint"))

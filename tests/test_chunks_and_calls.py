@@ -122,3 +122,16 @@ def test_painted(spark):
     df = spark.createDataFrame(rows, "k long, s long, n int")
     assert {(r.k, r.s): r.n_bytes for r in ranges.painted(df, ["k"], "s", "n").collect()} == want
     assert ranges.painted(df.limit(0), ["k"], "s", "n").count() == 0
+
+
+def test_functions_of_one_text(spark):
+    block = "/**\n * @name %s\n * as in note(1) {\n */\n/* calls told(2) { */\nvoid %s(int a)\n{\n  %s\n}\n\n"
+    text = block % ("one", "one", "two(1);") + block % ("two", "two", "one(1, 2); x = three();") + "int tail(int a) { one(3); }\nint last() { }"
+    got = callsites.call_sites(spark.createDataFrame([(1, text)], "id long, t string"), "id", "t").orderBy("pos").collect()
+    assert [(r.block, r.name, r.n_args, r.uses_return) for r in got] == [(0, "two", 1, False), (1, "one", 2, False), (1, "three", 0, True), (1, "one", 1, False)]
+    assert all(text[r.pos :].startswith(r.name + "(") for r in got)
+    ddl = "result_id long, binary_id long, address long, name string, original_name string, signature string, error string, skipped boolean"
+    results = spark.createDataFrame([(1, 1, 10, "one", "FUN_a", "void one(int a)", None, None), (2, 1, 11, "two", "FUN_b", "void two(int a)", None, None)], ddl)
+    bodies = spark.createDataFrame([(1, 1, block % ("a", "a", "one(1);") + block % ("two", "two", "one(1, 2);"))], "doc_id long, binary_id long, text string")
+    conflicts = callsites.call_conflicts(results, bodies, "doc_id", "text").collect()
+    assert [(r.kind, r.address, r.block, r.detail) for r in conflicts] == [("argument_count", 10, 1, "1 declared, 2 passed")]

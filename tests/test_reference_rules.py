@@ -106,3 +106,10 @@ def test_runs_and_scores(spark):
     rows = spark.createDataFrame([(1, "x", "x"), (1, "x", "y"), (1, None, "x"), (1, "z", None)], "g int, t string, p string")
     got = {r.label: (r.tp, r.fp, r.fn, r.f1) for r in ranges.class_scores(rows, ["g"], "t", "p").collect()}
     assert got == {"x": (1, 0, 1, 2 / 3), "y": (0, 1, 0, 0.0), "z": (0, 0, 1, 0.0)}
+
+
+def test_source_edges_of_several_functions(spark):
+    block = "/**\n * @name %s\n * @brief not {gone()\n * @address %s\n */\nint %s(void)\n{\n  %s\n}\n\n"
+    rows = [(1, block % ("a", "0x10", "a", "c();") + block % ("b", "0x20", "b", "a();")), (2, block % ("c", "0x30", "c", "b();") + block % ("gone", "0x40", "gone", ""))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(tuple(r) for r in io.source_edges(df, "doc_id", "text").collect()) == [(16, 48), (32, 16), (48, 32)]

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ferrule.functions import names, parsing
+from ferrule.operators import nested
+from ferrule.session import cut
 
 # fixed values: limits of size classes, marks of doubt
 SIZE_CLASSES = [(16, "trivial"), (64, "small"), (256, "medium")]
@@ -139,3 +141,21 @@ def unify_structs(proposals: DataFrame) -> DataFrame:
         .join(sizes, ["binary_id", "name"])
         .select("binary_id", "name", F.greatest("largest", "end").alias("size"), "offset", "b.field", "b.data_type", "b.field_size")
     )
+
+
+def answers_by_address(responses: DataFrame) -> DataFrame:
+    """(binary_id, address, response_id, pos): the last answer that each function has, by time, response and place in it.
+
+    An answer to a prompt with an address of its own is that function's, at pos -1, whatever it states: the prompt held one
+    function. Otherwise each entry, an item of a list or the one object, answers the function whose address it states;
+    0 is no address. Entries are read as in `nested.list_items`, faulty JSON beyond spare commas has none.
+    """
+    keys = ["response_id", "binary_id", "address", "received_at"]
+    prompts = cut(responses.select(*keys, "raw"))
+    several = nested.parse_answers(prompts.where("address IS NULL AND raw IS NOT NULL"), "response_id", "raw", repair=True)
+    entries = nested.list_items(several, "answer", ["record"])
+    stated = entries.select(F.col("record").alias("response_id"), "pos", parsing.address(F.try_variant_get("value", "$.address", "string")).alias("address")).where("address <> 0")
+    own = prompts.where("address IS NOT NULL").select(*keys, F.lit(-1).alias("pos"))
+    rows = own.unionByName(stated.join(prompts.select("response_id", "binary_id", "received_at"), "response_id"))
+    last = F.max(F.struct("received_at", "response_id", "pos")).alias("last")
+    return rows.groupBy("binary_id", "address").agg(last).select("binary_id", "address", "last.response_id", "last.pos")

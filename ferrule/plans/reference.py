@@ -57,9 +57,9 @@ def j1_signature_match(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def j2_answers_of_functions(spark: SparkSession, sf: str) -> DataFrame:
-    """Every function with its last answer of its own, null where there is none."""
-    last = b.responses(spark, sf).where("address IS NOT NULL").groupBy("binary_id", "address").agg(F.max(F.struct("received_at", "response_id"))["response_id"].alias("response_id"))
-    return b.functions(spark, sf).select("binary_id", "address").join(last, ["binary_id", "address"], "left")
+    """Every function with its last answer, null where there is none."""
+    last = review.answers_by_address(b.responses(spark, sf))
+    return b.functions(spark, sf).select("binary_id", "address").join(last.select("binary_id", "address", "response_id"), ["binary_id", "address"], "left")
 
 
 def j4_sites_in_functions(spark: SparkSession, sf: str) -> DataFrame:

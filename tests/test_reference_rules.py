@@ -113,3 +113,14 @@ def test_source_edges_of_several_functions(spark):
     rows = [(1, block % ("a", "0x10", "a", "c();") + block % ("b", "0x20", "b", "a();")), (2, block % ("c", "0x30", "c", "b();") + block % ("gone", "0x40", "gone", ""))]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(tuple(r) for r in io.source_edges(df, "doc_id", "text").collect()) == [(16, 48), (32, 16), (48, 32)]
+
+
+def test_answers_by_address(spark):
+    rows = [
+        (1, 1, 16, 1, '{"address": "48", "name": "own"}'), (2, 1, None, 2, 'So:\n```json\n[{"address": "0x10", "name": "a"}, {"address": 32}, {"address": "0x20"}, {"address": 0}, {}, 7,]\n```'),
+        (3, 1, None, 1, '[{"address": "0x20"}, {"address": "64"}]'), (4, 1, None, 3, "no json"), (5, 2, None, 3, '{"address": "00000010"}'), (6, 2, 20, 1, None), (7, 2, None, 1, None),
+    ]
+    df = spark.createDataFrame(rows, "response_id long, binary_id long, address long, received_at int, raw string")
+    got = sorted((r.binary_id, r.address, r.response_id, r.pos) for r in review.answers_by_address(df).collect())
+    assert got == [(1, 16, 2, 0), (1, 32, 2, 2), (1, 64, 3, 1), (2, 16, 5, 0), (2, 20, 6, -1)]
+    assert review.answers_by_address(df.limit(0)).count() == 0

@@ -102,23 +102,26 @@ def features(text: str) -> tuple[str | None, list[float]]:
 
 
 def page_vectors(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """(key, grp, FEATURES...) of every page with at least one visible character; whole texts are read."""
+    """(key, grp, page, FEATURES...) of every page with at least one visible character; whole texts are read.
+
+    `page` is a hash of the text, the same for all its copies.
+    """
     ship(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for k, t, declared in zip(batch[key], batch[text], batch[lang]):
+            for k, page, t, declared in zip(batch[key], batch["page"], batch[text], batch[lang]):
                 told, values = features(t)
                 declared = (declared or "").lower().split("-")[0]
-                rows.append((k, told or (declared if declared in WORDS else "none"), *values))
-            yield pd.DataFrame(rows, columns=[key, "grp", *FEATURES])
+                rows.append((k, told or (declared if declared in WORDS else "none"), page, *values))
+            yield pd.DataFrame(rows, columns=[key, "grp", "page", *FEATURES])
 
     return (
-        docs.select(key, text, lang)
+        docs.select(key, text, lang, F.md5(F.encode(text, "utf-8")).alias("page"))
         .where(F.col(text).rlike(r"\S"))
-        .mapInPandas(run, f"`{key}` {kind}, grp string, " + ", ".join(f"{f} double" for f in FEATURES))
+        .mapInPandas(run, f"`{key}` {kind}, grp string, page string, " + ", ".join(f"{f} double" for f in FEATURES))
     )
 
 
@@ -143,8 +146,10 @@ def robust_fit(vectors: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
     """Robust location and whitening matrix of each group.
 
     Starts from medians and median absolute deviations, then keeps, STEPS times, the KEPT nearest share of each group.
-    All pages take part; only one row for each group and quantile comes to the driver.
+    All pages take part, but copies of a text count once in a group, else the copies of one page could make up most of it
+    and would be its centre. Only one row for each group and quantile comes to the driver.
     """
+    vectors = cut(vectors.dropDuplicates(["grp", "page"]))
     medians = vectors.groupBy("grp").agg(*[F.percentile_approx(f, 0.5, 10000).alias(f) for f in FEATURES]).collect()
     centre = {r.grp: np.array([r[f] for f in FEATURES]) for r in medians}
     shift = lambda f, i: F.abs(F.col(f) - F.create_map(*[y for g, c in centre.items() for y in (F.lit(g), F.lit(float(c[i])))])[F.col("grp")])

@@ -33,3 +33,18 @@ def test_found(spark):
 def test_empty(spark):
     none = spark.createDataFrame([], "doc_id long, text string, lang string")
     assert spam.spam_pages(none).count() == 0
+
+
+def test_copies_are_a_third(spark):
+    rows, truth = pages(random.Random(6), 360)
+    spam_page = next(r[1] for r in rows if r[0] in truth)
+    ordinary = next(r[1] for r in rows if r[0] % 12 == 5)
+    for copied, is_spam in [(spam_page, True), (ordinary, False)]:
+        # one page is a third of all rows and nine in ten of the pages that count as German
+        words = [("Kopf", "Datei", "Block"), ("Satz", "Liste", "Strom"), ("Wert", "Tabelle", "Takt")] * 7
+        small = [(5000 + i, f"Der {a} ist in der {b} und wird von dem {c} auch nicht mehr als {i} mal für die {a} aus dem {c} geholt.", "de") for i, (a, b, c) in enumerate(words)]
+        copies = [(10000 + i, copied, "de") for i in range(len(rows) // 2)]
+        df = spark.createDataFrame([*rows, *small, *copies], "doc_id long, text string, lang string")
+        got = {r.doc_id for r in spam.spam_pages(df).select("doc_id").collect()}
+        want = truth | ({i for i, *_ in copies} if is_spam else set())
+        assert len(want & got) >= 0.95 * len(want) and len(got - want) <= 3

@@ -117,34 +117,78 @@ def explode_levels(nodes: DataFrame, child_key: str) -> DataFrame:
         level = items.select("record", F.col("path").alias("parent"), (F.col("level") + 1).alias("level"), child.alias("node"))
 
 
+def _object_members(ddl: str) -> dict[str, str]:
+    """The members of an OBJECT<...> type and their types; names may be quoted by backticks."""
+    body, fields, depth, start, quoted = re.sub(r"^OBJECT<|>$", "", ddl), {}, 0, 0, False
+    for i, c in enumerate(body + ","):
+        quoted ^= c == "`"
+        depth += 0 if quoted else (c == "<") - (c == ">")
+        if c == "," and depth == 0 and not quoted:
+            name, kind = re.fullmatch(r"(?s)(`(?:[^`]|``)*`|[^:]*)(?:: )?(.*)", body[start:i].strip()).groups()
+            if kind:
+                fields[name[1:-1].replace("``", "`") if name.startswith("`") else name] = kind
+            start = i + 1
+    return fields
+
+
 def merged_schema(items: DataFrame) -> dict[str, str]:
     """The members that items have and their merged types, in the order of their names; {} for no items.
 
     Types that don't agree come out as VARIANT. The schema is one value, as large as the names that occur.
     """
     ddl = items.where(F.schema_of_variant("item").startswith("OBJECT")).select(F.schema_of_variant_agg("item")).first()[0] or ""
-    body, fields, depth, start = re.sub(r"^OBJECT<|>$", "", ddl), {}, 0, 0
-    for i, c in enumerate(body + ","):
-        depth += (c == "<") - (c == ">")
-        if c == "," and depth == 0:
-            name, _, kind = body[start:i].strip().partition(": ")
-            if kind:
-                fields[name.strip("`")] = kind
-            start = i + 1
-    return fields
+    return _object_members(ddl)
+
+
+def _members_below(schema: dict[str, str], above: tuple[str, ...] = ()) -> list[tuple[tuple[str, ...], str]]:
+    """(path, type) of all members, those of object members in their place."""
+    out = []
+    for name, kind in schema.items():
+        inner = _object_members(kind) if kind.startswith("OBJECT<") else {}
+        out += _members_below(inner, (*above, name)) if inner else [((*above, name), kind)]
+    return out
+
+
+def _at(path: tuple[str, ...]) -> str:
+    return "$" + "".join(f'["{n}"]' if "'" in n else f"['{n}']" for n in path)
 
 
-def flat_table(items: DataFrame, columns: list[str] | None = None) -> DataFrame:
+def flat_table(items: DataFrame, columns: list[str] | None = None, child_key: str | None = None) -> DataFrame:
     """The items of one or more levels as a flat table: keys and one text column for each scalar member.
 
-    Columns come from the merged schema of the items, or are given; a member whose name is one of the keys gets the
-    prefix `item_`. Members that are lists or objects are left to their own tables.
+    Columns come from the merged schema of the items: `columns` first, which are there even if no item has them, then
+    all others by name; members of object members are columns like `notes.weight`. A member whose name is one of the keys
+    gets the prefix `item_`. Lists are left to `list_tables`, also the objects of a member that is scalar elsewhere, and
+    the items under `child_key` are rows of their own.
     """
-    schema = merged_schema(items)
-    names = columns if columns is not None else [n for n, kind in schema.items() if not kind.startswith(("ARRAY", "OBJECT"))]
     keys = ["record", "level", "parent", "pos", "path"]
-    get = lambda n: F.try_variant_get("item", f"$['{n}']", "string")
-    return items.select(*keys, *[get(n).alias(f"item_{n}" if n in keys else n) for n in names])
+    found = [path for path, kind in _members_below(merged_schema(items)) if not kind.startswith(("ARRAY", "OBJECT", "VOID")) and path != (child_key,)]
+    first = [(n,) for n in columns or []]
+    scalar = lambda p: F.when(~F.schema_of_variant(F.try_variant_get("item", _at(p), "variant")).rlike("^(ARRAY|OBJECT)"), F.try_variant_get("item", _at(p), "string"))
+    name = lambda p: f"item_{'.'.join(p)}" if p[0] in keys and len(p) == 1 else ".".join(p)
+    return items.select(*keys, *[scalar(p).alias(name(p)) for p in [*first, *(p for p in found if p not in first)]])
+
+
+def list_tables(items: DataFrame, child_key: str | None = None) -> dict[str, DataFrame]:
+    """Every list member at any depth, by its name (`notes.seen_in`, `a[].b` for lists in the items of a list `a`).
+
+    Each is a table like that of `explode_levels`; `parent` is the path of the item that has the list, `path` goes on
+    from there. Members are told by the merged schema; one without a list or object in any item has no table.
+    """
+    out, left = {}, [("", items, child_key)]
+    while left:
+        above, level, skip = left.pop()
+        for path, kind in _members_below(merged_schema(level)):
+            if path == (skip,) or not kind.startswith(("ARRAY", "VARIANT")):
+                continue
+            node = F.try_variant_get("item", _at(path), "variant")
+            inner = _items(level.select("record", F.col("path").alias("parent"), (F.col("level") + 1).alias("level"), node.alias("node")).where("node IS NOT NULL"))
+            left += [(above + ("[]." if above else "") + ".".join(path), inner, None)] if not inner.isEmpty() else []
+        if level is not items:
+            out[above] = level
+            deeper = _items(level.where(F.schema_of_variant("item").startswith("ARRAY")).select("record", F.col("path").alias("parent"), (F.col("level") + 1).alias("level"), F.col("item").alias("node")))
+            left += [(above + "[]", deeper, None)] if not deeper.isEmpty() else []
+    return out
 
 
 def number(text: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,19 +59,29 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _flat(items: DataFrame, names: list[str], numbers: list[str], keys: list[str]) -> DataFrame:
+    """The items' flat table: keys, names, numbers, and all further members that any item has."""
+    flat = nested.flat_table(items, [*names, *numbers], "fields").withColumnRenamed("record", "synth_id")
+    rest = [c for c in flat.columns if c not in [*names, *numbers, "synth_id", "level", "parent", "pos", "path"]]
+    return flat.select("synth_id", *keys, *names, *[nested.number(F.col(n)).alias(n) for n in numbers], *[F.col(f"`{c.replace('`', '``')}`") for c in rest]).distinct()
+
+
 def p3_structs(spark: SparkSession, sf: str) -> DataFrame:
-    """The structs of all syntheses: the top level's flat table."""
-    flat = nested.flat_table(_synthesis_items(spark, sf).where("level = 0"), ["name", "total_size"])
-    return flat.select(F.col("record").alias("synth_id"), "path", "pos", "name", nested.number(F.col("total_size")).alias("total_size")).distinct()
+    """The structs of all syntheses: the top level's flat table, with the columns of the merged schema."""
+    return _flat(_synthesis_items(spark, sf).where("level = 0"), ["name"], ["total_size"], ["path", "pos"])
 
 
 def p3_fields(spark: SparkSession, sf: str) -> DataFrame:
-    """The fields of all syntheses at any depth, each with its parent's key."""
-    flat = nested.flat_table(_synthesis_items(spark, sf).where("level > 0"), ["name", "data_type", "offset", "size"])
-    return flat.select(
-        F.col("record").alias("synth_id"), "parent", "path", "level", "pos", "name", "data_type",
-        nested.number(F.col("offset")).alias("offset"), nested.number(F.col("size")).alias("size"),
-    ).distinct()
+    """The fields of all syntheses at any depth, each with its parent's key, with the columns of the merged schema."""
+    return _flat(_synthesis_items(spark, sf).where("level > 0"), ["name", "data_type"], ["offset", "size"], ["parent", "path", "level", "pos"])
+
+
+def p3_lists(spark: SparkSession, sf: str) -> DataFrame:
+    """The items of all other lists in structs and fields, each with the path of its struct or field and its place; objects as JSON."""
+    tables = nested.list_tables(_synthesis_items(spark, sf), "fields")
+    rows = [t.select(F.col("record").alias("synth_id"), F.lit(n).alias("list"), "parent", "pos", F.try_variant_get("item", "$", "string").alias("value")) for n, t in sorted(tables.items())]
+    none = spark.createDataFrame([], "synth_id long, list string, parent string, pos int, value string")
+    return reduce(DataFrame.unionByName, rows, none).distinct()
 
 
 def p3_constants(spark: SparkSession, sf: str) -> DataFrame:
@@ -98,7 +110,7 @@ def p4_callers(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-QUERIES = {"p1_found": p1_found, "p1_tree": p1_tree, "p1_cycles": p1_cycles, "p1_below": p1_below, "p3_found": p3_found, "p3_structs": p3_structs, "p3_fields": p3_fields, "p3_constants": p3_constants, "p3_proposal_fields": p3_proposal_fields, "p4_found": p4_found, "p4_callers": p4_callers}
+QUERIES = {"p1_found": p1_found, "p1_tree": p1_tree, "p1_cycles": p1_cycles, "p1_below": p1_below, "p3_found": p3_found, "p3_structs": p3_structs, "p3_fields": p3_fields, "p3_lists": p3_lists, "p3_constants": p3_constants, "p3_proposal_fields": p3_proposal_fields, "p4_found": p4_found, "p4_callers": p4_callers}
 
 _P1 = """
         WITH RECURSIVE nodes AS (
@@ -171,6 +183,9 @@ SQL = {
         SELECT synth_id, parent, path, level, pos::INT AS pos, json_extract_string(item, '$.name') AS name,
                json_extract_string(item, '$.data_type') AS data_type, {_NUMBER.format("o")} AS "offset", {_NUMBER.format("z")} AS size
         FROM got WHERE level > 0""",
+    "p3_lists": _P3 + """
+        SELECT DISTINCT synth_id, 'notes.seen_in' AS list, path AS parent, i::INT AS pos, json_extract_string(item, '$.notes.seen_in[' || i || ']') AS value
+        FROM (SELECT *, unnest(range(coalesce(json_array_length(item, '$.notes.seen_in'), 0)::BIGINT)) AS i FROM full_items) WHERE trim(value) <> ''""",
     "p3_constants": f"SELECT sig_id, pos::INT AS pos, constant FROM ({_P3_CONSTANTS})",
     "p3_proposal_fields": f'''SELECT proposal_id, pos::INT AS pos, f.name, f.data_type, f."offset", f.size FROM ({_P3_LISTS})''',
     "p1_found": _P1 + """

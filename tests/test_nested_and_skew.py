@@ -72,3 +72,19 @@ def test_list_items_and_repair(spark):
     items = nested.list_items(nested.parse_answers(df, "i", "raw", repair=True), "answer", ["record"])
     got = items.select("record", "pos", F.to_json("value").alias("v")).collect()
     assert sorted((r.record, r.pos, r.v) for r in got) == [(0, 0, '{"a":1}'), (0, 1, "2"), (1, 0, '{"a":[1,2]}'), (5, 0, '{"a":"b,}"}')]
+
+
+def test_all_members_reach_a_table(spark):
+    field = {"name": "x", "size": 4, "notes": {"seen_in": ["f", "", "g"], "weight": 0.5, "by": [{"who": "a", "tags": ["t"]}]}, "grid": [[1, 2], [3]]}
+    got = items(spark, [json.dumps({"structs": [{"name": "s", "fields": [{"name": "y", "notes": {}}, field]}]}), json.dumps({"structs": [{"name": "t", "mixed": 1}, {"mixed": ["u"]}]})])
+    fields = nested.flat_table(got.where("level > 0"), ["name", "offset"], "fields")
+    assert fields.columns == ["record", "level", "parent", "pos", "path", "name", "offset", "notes.weight", "size"]
+    assert [r["notes.weight"] for r in fields.orderBy("pos").collect()] == [None, "0.5"]
+    structs = nested.flat_table(got.where("level = 0"), child_key="fields")
+    assert structs.columns[5:] == ["mixed", "name"] and sorted(str(r.mixed) for r in structs.collect()) == ["1", "None", "None"]
+    tables = nested.list_tables(got, "fields")
+    seen = {n: sorted((r.record, r.parent, r.pos, r.v) for r in t.select("record", "parent", "pos", F.to_json("item").alias("v")).collect()) for n, t in tables.items()}
+    assert seen == {
+        "notes.seen_in": [(0, "0.1", 0, '"f"'), (0, "0.1", 2, '"g"')], "notes.by": [(0, "0.1", 0, '{"tags":["t"],"who":"a"}')], "notes.by[].tags": [(0, "0.1.0", 0, '"t"')],
+        "grid": [(0, "0.1", 0, "[1,2]"), (0, "0.1", 1, "[3]")], "grid[]": [(0, "0.1.0", 0, "1"), (0, "0.1.0", 1, "2"), (0, "0.1.1", 0, "3")], "mixed": [(1, "1", 0, '"u"')],
+    }

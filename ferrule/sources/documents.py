@@ -47,7 +47,8 @@ def address_selection(lines: DataFrame, column: str = "value") -> DataFrame:
     return known.select(F.coalesce("address", F.raise_error(F.concat(F.lit("no address: "), "word")).cast("bigint")).alias("address")).distinct()
 
 
-C_FUNCTION = r"(?m)^(?:static[ \t]+)?((?:[A-Za-z_]\w*[ \t*]+)+?)(\w+)[ \t]*\(([^(){};]*)\)\s*\{"
+#: The types are one run of signs in which no word begins with a digit: repeated groups would overflow the stack on long lines of prose.
+C_FUNCTION = r"(?m)^(?:static[ \t]+)?(?=[A-Za-z_])(?![\w \t*]*[ \t*]\d\w*[ \t*]+\w)([\w \t*]*[ \t*])(\w+)[ \t]*\(([^(){};]*)\)\s*\{"
 CONTROL = ["if", "for", "while", "switch", "return", "sizeof", "else", "do"]
 
 

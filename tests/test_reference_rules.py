@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 from ferrule.functions import code, names, parsing
 from ferrule.operators import ranges, reach, review
+from ferrule.plans import reference
 from ferrule.sources import documents as io
 from ferrule.streaming import folds
 
@@ -124,3 +125,11 @@ def test_answers_by_address(spark):
     got = sorted((r.binary_id, r.address, r.response_id, r.pos) for r in review.answers_by_address(df).collect())
     assert got == [(1, 16, 2, 0), (1, 32, 2, 2), (1, 64, 3, 1), (2, 16, 5, 0), (2, 20, 6, -1)]
     assert review.answers_by_address(df.limit(0)).count() == 0
+
+
+def test_c_functions_of_any_language(spark, tmp_path):
+    code = "static int f(int a)\n{\n}\n"
+    rows = [(1, code, "c"), (2, code, None), (3, code, "de"), (4, "word " * 50000 + "{(\nunsigned long *g(void) {}\nint 3x h(int a) {}", "en"), (5, None, "c"), (6, "no code", "c")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted(tuple(r) for r in reference.s16_c_functions(spark, str(tmp_path)).collect())
+    assert got == [(1, "f", "int f(int a)"), (2, "f", "int f(int a)"), (3, "f", "int f(int a)"), (4, "g", "unsigned long * g(void)")]

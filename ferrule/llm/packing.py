@@ -25,8 +25,8 @@ from pyspark.sql.window import Window
 
 from ferrule.session import cut
 
-#: Buckets of the padding plan, candidate boundaries it chooses from, and parts that ranks of one size are counted in.
-BUCKETS, CANDIDATES, RANK_PARTS = 16, 1024, 256
+#: Buckets of the padding plan, and parts that ranks of one size or bucket are counted in.
+BUCKETS, RANK_PARTS = 16, 256
 
 
 def best_fit(histogram: Mapping[int, int], capacity: int) -> list[tuple[int, dict[int, int]]]:
@@ -73,40 +73,38 @@ def best_fit(histogram: Mapping[int, int], capacity: int) -> list[tuple[int, dic
     return [(n, fill) for n, fill in zip(counts, fills) if n]
 
 
-def length_buckets(histogram: Mapping[int, int], buckets: int = BUCKETS, candidates: int = CANDIDATES) -> list[int]:
-    """Upper bounds of the buckets that minimise padding to each bucket's bound, by dynamic programming.
+def length_buckets(histogram: Mapping[int, int], buckets: int = BUCKETS) -> list[int]:
+    """Upper bounds of the buckets that minimise padding to each bucket's bound, by dynamic programming over all sizes.
 
-    More than `candidates` distinct sizes are first put into that many ranges of about equal counts.
+    The best last bucket of the first j sizes begins no earlier the larger j is (padding meets the quadrangle
+    inequality), so each round divides at the middle j and searches what is left on both sides: O(n log n).
     """
-    sizes = np.array(sorted(histogram))
-    counts = np.array([histogram[s] for s in sizes.tolist()], float)
+    sizes = np.array(sorted(histogram), np.int64)
     if not len(sizes):
         return []
-    if len(sizes) > candidates:
-        cell = np.minimum((np.cumsum(counts) - counts / 2) * candidates // counts.sum(), candidates - 1)
-        bounds = sizes[np.append(np.diff(cell) > 0, True)]
-    else:
-        bounds = sizes
-    n_upto = np.concatenate([[0], np.cumsum(counts)[np.searchsorted(sizes, bounds)]])
-    tokens_upto = np.concatenate([[0], np.cumsum(counts * sizes)[np.searchsorted(sizes, bounds)]])
-    # cost[i, j]: padding of a bucket that takes candidates i..j-1 and ends at bounds[j-1]
-    cost = np.concatenate([[0], bounds])[None, :] * (n_upto[None, :] - n_upto[:, None]) - (tokens_upto[None, :] - tokens_upto[:, None])
-    cost[np.tril_indices(len(cost))] = np.inf
-    best, back = cost[0].copy(), []
-    best[0] = 0
-    for _ in range(1, min(buckets, len(bounds))):
-        through = best[:, None] + cost
-        choice = through.argmin(axis=0)
-        improved = through[choice, np.arange(len(choice))]
-        back.append(np.where(improved < best, choice, -1))
-        best = np.minimum(best, improved)
-    chosen, j = [], len(bounds)
-    for prev in reversed(back):
-        if prev[j] >= 0:
-            chosen.append(j)
-            j = int(prev[j])
-    chosen.append(j)
-    return [int(bounds[k - 1]) for k in sorted(chosen) if k > 0]
+    counts = np.array([histogram[s] for s in sizes.tolist()], np.int64)
+    upto, tokens = np.concatenate([[0], np.cumsum(counts)]), np.concatenate([[0], np.cumsum(counts * sizes)])
+    n, rounds = len(sizes), min(buckets, len(sizes))
+    best, back = np.concatenate([[0], sizes * upto[1:] - tokens[1:]]), []  # padding of the first j sizes in one bucket
+    for k in range(1, rounds):
+        # the first j sizes in k + 1 buckets, the last of which takes the sizes i..j-1
+        now, begin, todo = best.copy(), np.zeros(n + 1, np.int64), [(k + 1, n, k, n - 1)]
+        while todo:
+            low, high, least, most = todo.pop()
+            if low > high:
+                continue
+            j = (low + high) // 2
+            i = slice(least, min(most, j - 1) + 1)
+            cost = best[i] + tokens[i] - sizes[j - 1] * upto[i]
+            at = int(cost.argmin())
+            now[j], begin[j] = cost[at] + sizes[j - 1] * upto[j] - tokens[j], least + at
+            todo += [(low, j - 1, least, least + at), (j + 1, high, least + at, most)]
+        back.append(begin)
+        best = now
+    ends = [n]
+    for begin in reversed(back):
+        ends.append(int(begin[ends[-1]]))
+    return [int(sizes[j - 1]) for j in reversed(ends)]
 
 
 def pieces(sizes: DataFrame, capacities: Sequence[int], key: str = "doc_id") -> DataFrame:
@@ -126,6 +124,21 @@ def histograms(parts: DataFrame) -> dict[int, dict[int, int]]:
     return out
 
 
+def _ranked(rows: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """rows + (rank): zero-based ranks among the rows of one group, without giving a group to one task.
+
+    Ranks are positions in parts of a group plus the parts' offsets; the last column of `order` is the rows' key.
+    """
+    rest = rows.withColumn("slice", F.pmod(F.xxhash64(order[-1]), F.lit(RANK_PARTS)).cast("int"))
+    counted = rest.groupBy(*by, "slice").agg(F.count(F.lit(1)).alias("n"))
+    offsets = counted.withColumn("offset", F.sum("n").over(Window.partitionBy(*by).orderBy("slice")) - F.col("n")).drop("n")
+    return (
+        rest.withColumn("at", F.row_number().over(Window.partitionBy(*by, "slice").orderBy(*order)))
+        .join(offsets, [*by, "slice"])
+        .withColumn("rank", F.col("offset") + F.col("at") - 1)
+    )
+
+
 def pack(sizes: DataFrame, capacities: Sequence[int], key: str = "doc_id") -> DataFrame:
     """(capacity, container, key, part, start, n_tokens): which tokens of which text each container holds.
 
@@ -146,15 +159,7 @@ def pack(sizes: DataFrame, capacities: Sequence[int], key: str = "doc_id") -> Da
     spark = sizes.sparkSession
     plan = spark.createDataFrame(segments, "capacity int, size int, from_rank long, to_rank long, each long, first long")
 
-    # ranks among the items of one size, without giving one size to one task: positions in parts of it plus the parts' offsets
-    rest = parts.where("size > 0").withColumn("slice", F.pmod(F.xxhash64(key), F.lit(RANK_PARTS)).cast("int"))
-    counted = rest.groupBy("capacity", "size", "slice").agg(F.count(F.lit(1)).alias("n"))
-    offsets = counted.withColumn("offset", F.sum("n").over(Window.partitionBy("capacity", "size").orderBy("slice")) - F.col("n")).drop("n")
-    ranked = (
-        rest.withColumn("at", F.row_number().over(Window.partitionBy("capacity", "size", "slice").orderBy(key)))
-        .join(offsets, ["capacity", "size", "slice"])
-        .withColumn("rank", F.col("offset") + F.col("at") - 1)
-    )
+    ranked = _ranked(parts.where("size > 0"), ["capacity", "size"], [key])
     packed = (
         ranked.join(F.broadcast(plan), ["capacity", "size"])  # bounded by the capacities: one row for each size and group of containers
         .where("rank >= from_rank AND rank < to_rank")
@@ -180,18 +185,25 @@ def fill_report(packed: DataFrame) -> DataFrame:
     )
 
 
-def bucket_report(sizes: DataFrame, capacities: Sequence[int], key: str = "doc_id") -> DataFrame:
-    """(capacity, upto, n_texts, n_batches, padding): the optimal length buckets and their token-budget batches.
+def bucket_batches(sizes: DataFrame, capacities: Sequence[int], key: str = "doc_id") -> DataFrame:
+    """(capacity, upto, batch, key, part, n_tokens): the bucket of each text's rest, and the batch inside of it.
 
     A batch of a bucket holds as many rests as fit when each is padded to the bucket's bound.
     """
+    if not capacities:
+        return pieces(sizes, [1], key).where(F.lit(False)).select("capacity", F.lit(0).alias("upto"), F.lit(0).cast("long").alias("batch"), key, F.col("whole").alias("part"), F.col("size").alias("n_tokens"))
     parts = cut(pieces(sizes, capacities, key))
     rows = []
     for capacity, histogram in sorted(histograms(parts).items()):
-        low = 0
-        for bound in length_buckets(histogram):
-            inside = {s: n for s, n in histogram.items() if low < s <= bound}
-            n = sum(inside.values())
-            rows.append((capacity, bound, n, -(-n // (capacity // bound)), sum((bound - s) * c for s, c in inside.items())))
-            low = bound
-    return sizes.sparkSession.createDataFrame(rows, "capacity int, upto int, n_texts long, n_batches long, padding long")
+        bounds = length_buckets(histogram)
+        rows += [(capacity, low, bound) for low, bound in zip([0, *bounds], bounds)]
+    plan = sizes.sparkSession.createDataFrame(rows, "capacity int, low int, upto int")
+    placed = parts.where("size > 0").join(F.broadcast(plan), "capacity").where("size > low AND size <= upto")  # BUCKETS rows for each capacity
+    ranked = _ranked(placed, ["capacity", "upto"], ["size", key])
+    return ranked.select("capacity", "upto", F.expr("rank div (capacity div upto)").alias("batch"), key, F.col("whole").alias("part"), F.col("size").alias("n_tokens"))
+
+
+def bucket_report(sizes: DataFrame, capacities: Sequence[int], key: str = "doc_id") -> DataFrame:
+    """(capacity, upto, n_texts, n_batches, padding): the optimal length buckets and their token-budget batches, counted."""
+    batches = bucket_batches(sizes, capacities, key).groupBy("capacity", "upto", "batch").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("upto") - F.col("n_tokens")).alias("pad"))
+    return batches.groupBy("capacity", "upto").agg(F.sum("n").alias("n_texts"), F.count(F.lit(1)).alias("n_batches"), F.sum("pad").alias("padding"))

@@ -1,6 +1,8 @@
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
+
 from ferrule.llm import packing
 
 
@@ -61,3 +63,28 @@ def test_pack(spark):
     assert packing.pack(sizes.where("false"), [10]).count() == 0
     assert packing.pack(sizes, []).count() == 0
     assert packing.bucket_report(sizes, [10]).count() > 0
+
+
+def test_every_size_is_a_boundary():
+    rng = random.Random(7)
+    histogram = {s: rng.randint(1, 3) for s in range(1, 1300)} | {1400: 10**6, 1401: 10**6}
+    sizes = np.array(sorted(histogram))
+    n, t = (np.concatenate([[0], np.cumsum([histogram[s] * x for s, x in zip(sizes.tolist(), by)])]) for by in (np.ones(len(sizes), int), sizes.tolist()))
+    best = np.concatenate([[0], sizes * n[1:] - t[1:]])
+    for _ in range(3):
+        best = np.array([0, *(min(best[j], (best[:j] + sizes[j - 1] * (n[j] - n[:j]) - t[j] + t[:j]).min()) for j in range(1, len(best)))])
+    bounds = packing.length_buckets(histogram, 4)
+    assert len(bounds) == 4 and sum((next(b for b in bounds if b >= s) - s) * c for s, c in histogram.items()) == best[-1]
+
+
+def test_batches_hold_every_text_once(spark):
+    rng = random.Random(8)
+    rows = [(i, rng.choice([0, 1, 3, 9, 10, 25, 44])) for i in range(400)] + [(400, None)]
+    sizes = spark.createDataFrame(rows, "doc_id long, n_tokens int")
+    got = packing.bucket_batches(sizes, [10, 30]).collect()
+    assert sorted((r.capacity, r.doc_id, r.n_tokens) for r in got) == sorted((c, i, n % c) for i, n in rows for c in (10, 30) if n and n % c)
+    held = Counter((r.capacity, r.upto, r.batch) for r in got)
+    assert all(n * u <= c for (c, u, _), n in held.items()) and all(r.n_tokens <= r.upto for r in got)
+    report = {(r.capacity, r.upto): (r.n_texts, r.n_batches) for r in packing.bucket_report(sizes, [10, 30]).collect()}
+    assert report == {(c, u): (sum(n for k, n in held.items() if k[:2] == (c, u)), sum(k[:2] == (c, u) for k in held)) for c, u, _ in held}
+    assert packing.bucket_report(sizes.where("false"), [10]).count() == 0 and packing.bucket_report(sizes, []).count() == 0

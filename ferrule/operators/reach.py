@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ferrule.operators.hierarchy import resolve
-from ferrule.session import cut
+from ferrule.operators.hierarchy import hierarchy
+from ferrule.session import cut, cut_counting
 
 
 def closure(seeds: DataFrame, links: DataFrame) -> DataFrame:
@@ -24,15 +24,72 @@ def closure(seeds: DataFrame, links: DataFrame) -> DataFrame:
     return known
 
 
-def closure_in_tree(seeds: DataFrame, tree: DataFrame) -> DataFrame:
-    """(scope, node): the closure where every step of the hierarchy has at most one step above it; one join, no rounds.
+def _steps(tree: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The tree's steps (scope, step, steps, depth), and the distinct links between steps that its paths don't take."""
+    steps = cut(tree.select("scope", "step", "steps", "depth").dropDuplicates(["scope", "step"]))
+    of = tree.select("scope", F.col("node").alias("above"), F.col("step").alias("a"))
+    between = (
+        links.join(of, ["scope", "above"])
+        .join(of.select("scope", F.col("above").alias("below"), F.col("a").alias("b")), ["scope", "below"])
+        .select("scope", F.col("a").alias("above"), F.col("b").alias("below"))
+        .where("above <> below")
+        .distinct()
+    )
+    taken = steps.where("depth > 0").select("scope", F.element_at("steps", -2).alias("above"), F.col("step").alias("below"))
+    return steps, between.join(taken, ["scope", "above", "below"], "left_anti")
+
 
-    A node is reached if a seed is in one of the steps of its path. Seeds that the tree doesn't have are in the result.
+def closure_in_tree(seeds: DataFrame, tree: DataFrame, links: DataFrame) -> DataFrame:
+    """(scope, node): the seeds and all they reach over links, by the hierarchy of these links.
+
+    A step is reached if a seed is in one of the steps of its path. Where a step has several steps above it, the links
+    that no path takes lead on: those that leave what was reached last give the next seeds. A graph whose steps have one
+    step above them at most takes one round, any other as many as the most such links on a way. Seeds that the
+    tree doesn't have are in the result.
+    """
+    seeds = cut(seeds.select("scope", "node").distinct())
+    steps, side = _steps(tree, links)
+    side, left = cut_counting(side, F.lit(True))
+    on_path = steps.select("scope", F.col("step").alias("below"), F.explode("steps").alias("step"))
+    new, reached = tree.join(seeds, ["scope", "node"], "left_semi").select("scope", "step").distinct(), None
+    while True:
+        hit = on_path.join(new, ["scope", "step"], "left_semi").select("scope", F.col("below").alias("step")).distinct()
+        hit = cut(hit if reached is None else hit.join(reached, ["scope", "step"], "left_anti"))
+        reached = hit if reached is None else reached.unionByName(hit)
+        if not left:
+            break
+        onward = side.join(hit.select("scope", F.col("step").alias("above")), ["scope", "above"], "left_semi").select("scope", F.col("below").alias("step")).distinct()
+        new, left = cut_counting(onward.join(reached, ["scope", "step"], "left_anti"), F.lit(True))
+    return tree.join(reached, ["scope", "step"], "left_semi").select("scope", "node").unionByName(seeds).distinct()
+
+
+def heights(tree: DataFrame, links: DataFrame) -> DataFrame:
+    """(scope, node, height): links on the longest way down from a node's step, cycles counting as one step.
+
+    The hierarchy's paths give the heights along the links they take. Every other link offers its upper end, and all steps
+    above that, the height of its lower end and one more; what grows is offered again, until nothing grows. Contracted links
+    have no cycle, so it ends. A forest takes one round.
     """
-    seeds = seeds.select("scope", "node").distinct()
-    sown = tree.join(seeds, ["scope", "node"], "left_semi").select("scope", "step").distinct()
-    below = tree.select("scope", "node", F.explode("steps").alias("step")).join(sown, ["scope", "step"], "left_semi").select("scope", "node")
-    return below.unionByName(seeds).distinct()
+    steps, side = _steps(tree, links)
+    side, left = cut_counting(side, F.lit(True))
+    best = steps.select("scope", "depth", F.posexplode("steps").alias("pos", "step"))
+    known = cut(best.groupBy("scope", "step").agg(F.max(F.col("depth") - F.col("pos")).alias("height")))
+    grown = known
+    while left:
+        offers = (
+            side.join(grown.select("scope", F.col("step").alias("below"), "height"), ["scope", "below"])
+            .groupBy("scope", F.col("above").alias("step")).agg((F.max("height") + 1).alias("height"))
+            .join(known.select("scope", "step", F.col("height").alias("own")), ["scope", "step"])
+            .where("height > own")
+            .select("scope", "step", "height")
+        )
+        up = steps.join(offers, ["scope", "step"]).select("scope", (F.col("depth") + F.col("height")).alias("end"), F.posexplode("steps").alias("pos", "step"))
+        taller = up.groupBy("scope", "step").agg(F.max(F.col("end") - F.col("pos")).alias("height"))
+        news = taller.join(known.select("scope", "step", F.col("height").alias("own")), ["scope", "step"]).where("height > own").select("scope", "step", "height")
+        grown, left = cut_counting(news, F.lit(True))
+        if left:
+            known = cut(known.join(grown.select("scope", "step", F.col("height").alias("new")), ["scope", "step"], "left").select("scope", "step", F.coalesce("new", "height").alias("height")))
+    return tree.select("scope", "node", "step").join(known, ["scope", "step"]).select("scope", "node", "height")
 
 
 def with_callers(changed: DataFrame, links: DataFrame) -> DataFrame:
@@ -59,6 +116,5 @@ def chains(nodes: DataFrame, links: DataFrame) -> DataFrame:
     )
     held = cut(single.where("above <> below").select("scope", F.col("below").alias("node"), "above"))
     members = held.select("scope", "node").unionByName(held.select("scope", F.col("above").alias("node"))).distinct()
-    pointers = members.join(held, ["scope", "node"], "left").withColumn("in_cycle", F.lit(False))
-    lines, _ = resolve(pointers)
-    return lines.where("NOT circle").select("scope", F.col("path")[0]["id"].alias("chain"), (F.size("path") - 1).alias("pos"), "node")
+    lines = hierarchy(members, held.select("scope", "above", F.col("node").alias("below")))
+    return lines.where("NOT in_cycle").select("scope", F.col("top").alias("chain"), F.col("depth").alias("pos"), "node")

@@ -9,7 +9,7 @@ from ferrule.functions import code, names, parsing
 from ferrule.operators import bindings as b
 from ferrule.operators import hierarchy, nested, ranges, reach, review
 from ferrule.plans.general import _P1
-from ferrule.session import table
+from ferrule.session import cut, table
 from ferrule.sources import documents as docs_io
 from ferrule.streaming import folds
 
@@ -91,9 +91,11 @@ def g1_degrees(spark: SparkSession, sf: str) -> DataFrame:
 
 def g2_closure(spark: SparkSession, sf: str) -> DataFrame:
     """All functions that the thunks reach."""
-    tree = hierarchy.hierarchy(*hierarchy.call_links(table(spark, sf, "call_graph")))
+    nodes, links = hierarchy.call_links(table(spark, sf, "call_graph"))
+    nodes, links = cut(nodes), cut(links)
     seeds = b.functions(spark, sf).where("is_thunk").select(F.col("binary_id").alias("scope"), F.col("address").alias("node"))
-    return reach.closure_in_tree(seeds, tree).select(F.col("scope").alias("binary_id"), F.col("node").alias("address"))
+    reached = reach.closure_in_tree(seeds, cut(hierarchy.hierarchy(nodes, links)), links)
+    return reached.select(F.col("scope").alias("binary_id"), F.col("node").alias("address"))
 
 
 def g10_invalidated(spark: SparkSession, sf: str) -> DataFrame:
@@ -110,12 +112,13 @@ def w1_name_budget(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def l1_queue(spark: SparkSession, sf: str) -> DataFrame:
-    """Analysis order: functions that call nothing unfinished first, by height above the deepest function below, then size."""
-    tree = hierarchy.hierarchy(*hierarchy.call_links(table(spark, sf, "call_graph")))
-    ends = tree.select("scope", F.explode("steps").alias("step"), "depth").groupBy("scope", "step").agg(F.max("depth").alias("deepest"))
-    heights = tree.join(ends, ["scope", "step"]).select(F.col("scope").alias("binary_id"), F.col("node").alias("address"), (F.col("deepest") - F.col("depth")).alias("height"))
-    sizes = b.functions(spark, sf).select("binary_id", "address", F.coalesce("size", F.lit(0)).alias("size"))
-    return heights.join(sizes, ["binary_id", "address"]).select("binary_id", "address", "height", (F.col("height").cast("bigint") * 1000000 + F.col("size")).alias("priority"))
+    """Analysis order: functions that call nothing unfinished first, by the longest way down, then size."""
+    nodes, links = hierarchy.call_links(table(spark, sf, "call_graph"))
+    nodes, links = cut(nodes), cut(links)
+    heights = reach.heights(cut(hierarchy.hierarchy(nodes, links)), links)
+    sizes = b.functions(spark, sf).select(F.col("binary_id").alias("scope"), F.col("address").alias("node"), F.coalesce("size", F.lit(0)).alias("size"))
+    placed = heights.join(sizes, ["scope", "node"])
+    return placed.select(F.col("scope").alias("binary_id"), F.col("node").alias("address"), "height", (F.col("height").cast("bigint") * 1000000 + F.col("size")).alias("priority"))
 
 
 def w8_top_callees(spark: SparkSession, sf: str) -> DataFrame:

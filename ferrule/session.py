@@ -8,7 +8,8 @@ import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(app: str = "ferrule", cpus: int | None = None) -> SparkSession:
@@ -53,6 +54,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def cut_counting(df: DataFrame, condition: Column) -> tuple[DataFrame, int]:
+    """A cut table and how many of its rows meet a condition, counted while it is written (0 is exact, retries may raise more)."""
+    seen = Observation()
+    written = cut(df.observe(seen, F.count(F.when(condition, 1)).alias("n")))
+    return written, seen.get.get("n", 0)
+
+
 def clear_scratch(spark: SparkSession) -> None:
     """Delete the application's cut tables; call it after the results that come from them are written."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))

@@ -43,6 +43,7 @@ def obfuscation(text: Column) -> Column:
     machine = text.rlike(LOOP) & text.rlike(SWITCH)
     cases = F.regexp_count(text, F.lit(CASE))
     lines = F.size(F.split(F.rtrim(text, F.lit("\n")), "\n"))
+    # fixed values: the limits of each technique
     flags = {
         "control_flow_flattening": machine & (cases >= 4),
         "bogus_control_flow": _hits(text, OPAQUE) >= 2,

@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 def address(text: Column) -> Column:
     """0x.. is hexadecimal, a number without leading zeros decimal, any other hexadecimal digits hexadecimal; else null.
 
-    At most 15 hexadecimal or 18 decimal digits, so that the result is a long.
+    Numbers that do not fit into a long give null.
     """
     t = F.lower(F.trim(text))
     return (
-        F.when(t.rlike("^0x[0-9a-f]{1,15}$"), F.conv(F.substring(t, 3, 15), 16, 10).try_cast("bigint"))
-        .when(t.rlike("^(0+|[1-9][0-9]{0,17})$"), t.try_cast("bigint"))
-        .when(t.rlike("^[0-9a-f]{1,15}$"), F.conv(t, 16, 10).try_cast("bigint"))
+        F.when(t.rlike("^0x[0-9a-f]{1,16}$"), F.conv(F.substring(t, 3, 16), 16, 10).try_cast("bigint"))
+        .when(t.rlike("^(0+|[1-9][0-9]{0,18})$"), t.try_cast("bigint"))
+        .when(t.rlike("^[0-9a-f]{1,16}$"), F.conv(t, 16, 10).try_cast("bigint"))
     )
 
 

@@ -15,22 +15,25 @@ from pyspark.sql import functions as F
 
 from ferrule.session import cut
 
-#: How many wrappers (objects, lists or JSON texts around the answer) are opened in search of it.
-MAX_WRAPPERS = 4
+#: A text from its first bracket to its last.
+BODY = r"(?s)[\[{].*[\]}]"
 
 
 def _opened(df: DataFrame, variant: str, keep: list[str]) -> DataFrame:
-    """keep + (variant, shape): a JSON text inside of JSON is read as what it spells; `shape` begins with the value's type.
+    """keep + (variant, shape): a JSON text inside of JSON, fenced or encoded twice too, is read as what it spells; `shape`
+    begins with the value's type.
 
     The result is written before anything filters on the shape, else the planner would copy the parsing into each use.
     """
-    text = F.when(F.col("shape") == "STRING", F.try_variant_get(variant, "$", "string"))
-    spelled = F.try_parse_json(F.when(text.rlike(r"^\s*[\[{]"), text))
-    return cut(
-        df.select(*keep, variant, F.schema_of_variant(variant).alias("shape"))
-        .select(*keep, F.when(F.col("shape") == "STRING", F.coalesce(spelled, F.col(variant))).otherwise(F.col(variant)).alias(variant))
-        .select(*keep, variant, F.substring(F.schema_of_variant(variant), 1, 16).alias("shape"))
-    )
+    def spelled(value: Column) -> Column:
+        text = F.try_variant_get(value, "$", "string")
+        whole = F.try_parse_json(F.when(text.rlike(r'^\s*[\[{"]'), text))
+        fenced = F.try_parse_json(F.when(text.rlike(r"^\s*```"), F.regexp_extract(text, BODY, 0)))
+        return F.when(F.schema_of_variant(value) == "STRING", F.coalesce(whole, fenced, value)).otherwise(value)
+
+    once = df.select(*keep, spelled(F.col(variant)).alias(variant))
+    twice = once.select(*keep, spelled(F.col(variant)).alias(variant))
+    return cut(twice.select(*keep, variant, F.substring(F.schema_of_variant(variant), 1, 16).alias("shape")))
 
 
 def parse_answers(df: DataFrame, record: str, raw: str, repair: bool = False) -> DataFrame:
@@ -39,7 +42,7 @@ def parse_answers(df: DataFrame, record: str, raw: str, repair: bool = False) ->
     Fences and prose around the JSON are dropped. Null, empty and faulty texts give null; with `repair`, a text that is
     faulty otherwise is read without the commas that stand before a closing bracket.
     """
-    body = F.regexp_extract(raw, r"(?s)[\[{].*[\]}]", 0)
+    body = F.regexp_extract(raw, BODY, 0)
     tries = [F.try_parse_json(raw), F.try_parse_json(F.when(body != "", body))]
     if repair:
         tries.append(F.try_parse_json(F.when(body != "", F.regexp_replace(body, r",(\s*[}\]])", "$1"))))
@@ -65,13 +68,13 @@ def list_items(df: DataFrame, variant: str, keep: list[str]) -> DataFrame:
 
 
 def find_member(answers: DataFrame, key: str) -> DataFrame:
-    """(record, node): the value under `key`, in the answer itself or in the nearest wrapper that has it.
+    """(record, node): the value under `key`, in the answer itself or in the nearest wrapper that has it, at any depth.
 
     answers: (record, answer). An answer that is a bare list, with no such member inside, counts as the list itself.
     """
     level = _opened(answers, "answer", ["record"])
     bare, found = level.where("shape LIKE 'ARRAY%'").select("record", F.col("answer").alias("node")), None
-    for _ in range(MAX_WRAPPERS):
+    while True:
         looked = cut(level.withColumn("node", F.when(F.col("shape").startswith("OBJECT"), F.try_variant_get("answer", f"$.{key}", "variant"))))
         hit = looked.where("node IS NOT NULL").select("record", "node")
         found = hit if found is None else found.unionByName(hit)
@@ -192,10 +195,10 @@ def list_tables(items: DataFrame, child_key: str | None = None) -> dict[str, Dat
 
 
 def number(text: Column) -> Column:
-    """A whole number written in decimal or as 0x..., else null."""
+    """A whole number written in decimal or as 0x..., else null, also where it doesn't fit into a long."""
     t = F.trim(text)
-    return F.when(t.rlike("^0[xX][0-9a-fA-F]{1,15}$"), F.conv(F.substring(t, 3, 16), 16, 10).try_cast("bigint")).when(
-        t.rlike(r"^[+-]?\d{1,18}$"), t.try_cast("bigint")
+    return F.when(t.rlike("^0[xX][0-9a-fA-F]{1,16}$"), F.conv(F.substring(t, 3, 16), 16, 10).try_cast("bigint")).when(
+        t.rlike(r"^[+-]?\d{1,19}$"), t.try_cast("bigint")
     )
 
 

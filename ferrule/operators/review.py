@@ -126,6 +126,7 @@ def unify_structs(proposals: DataFrame) -> DataFrame:
     """
     p = proposals.dropDuplicates(["proposal_id"])
     f = p.select("binary_id", "name", "proposal_id", F.posexplode("fields").alias("pos", "f")).where("f.offset IS NOT NULL")
+    # fixed values: vague types and names
     vague_type = F.lower(F.coalesce("f.data_type", F.lit("undefined"))).isin("undefined", "undefined4", "undefined8")
     low = F.lower(F.coalesce("f.name", F.lit("")))
     vague_name = low.rlike("field|unk|undefined|pad")

@@ -181,7 +181,7 @@ SQL = {
         SELECT synth_id, path, pos::INT AS pos, json_extract_string(item, '$.name') AS name, {_NUMBER.format("ts")} AS total_size FROM got WHERE level = 0""",
     "p3_fields": _P3 + f"""
         SELECT synth_id, parent, path, level, pos::INT AS pos, json_extract_string(item, '$.name') AS name,
-               json_extract_string(item, '$.data_type') AS data_type, {_NUMBER.format("o")} AS "offset", {_NUMBER.format("z")} AS size
+               json_extract_string(item, '$.data_type') AS data_type, {_NUMBER.format("o")} AS "offset", {_NUMBER.format("z")} AS size, json_extract_string(item, '$.notes.weight') AS "notes.weight"
         FROM got WHERE level > 0""",
     "p3_lists": _P3 + """
         SELECT DISTINCT synth_id, 'notes.seen_in' AS list, path AS parent, i::INT AS pos, json_extract_string(item, '$.notes.seen_in[' || i || ']') AS value

@@ -174,14 +174,14 @@ def f31_limits(spark: SparkSession, sf: str) -> DataFrame:
 
 def f12_confidences(spark: SparkSession, sf: str) -> DataFrame:
     """All confidences as the answers write them, and their scores."""
-    said = F.regexp_extract_all("raw", F.lit('"confidence": "?([^",}\n]*)'), F.lit(1))
+    said = F.regexp_extract_all("raw", F.lit('"confidence"\\s*:\\s*"?([^",}\n]*)'), F.lit(1))
     each = b.responses(spark, sf).select("response_id", F.posexplode(said).alias("pos", "said"))
     return each.select("response_id", "pos", parsing.confidence(F.col("said")).alias("score"))
 
 
 def f12_addresses(spark: SparkSession, sf: str) -> DataFrame:
     """All addresses as the answers write them, read by the rules for hexadecimal and decimal."""
-    said = F.regexp_extract_all("raw", F.lit('"address": "?([0-9a-fA-Fx]+)'), F.lit(1))
+    said = F.regexp_extract_all("raw", F.lit('"address"\\s*:\\s*"?([0-9a-fA-Fx]+)'), F.lit(1))
     each = b.responses(spark, sf).select("response_id", F.posexplode(said).alias("pos", "said"))
     return each.select("response_id", "pos", parsing.address(F.col("said")).alias("address"))
 
@@ -290,7 +290,7 @@ def k7_log_lines(spark: SparkSession, sf: str) -> DataFrame:
         F.col("made_at"), F.when(failed, "WARNING").otherwise("INFO"), F.lit("result"),
         F.concat(F.coalesce("name", F.lit("")), F.lit(" "), F.format_string("0x%08x", "address")), F.col("error"),
     )
-    return b.results(spark, sf).where("made_at IS NOT NULL AND address IS NOT NULL").select("result_id", line.alias("line"))
+    return b.results(spark, sf).where("address IS NOT NULL").select("result_id", line.alias("line"))
 
 
 def k1_export(spark: SparkSession, sf: str) -> DataFrame:
@@ -317,7 +317,7 @@ def s16_c_functions(spark: SparkSession, sf: str) -> DataFrame:
 
 def t2_stream_hours(spark: SparkSession, sf: str) -> DataFrame:
     """Hourly counts of events, folded by a stream over the file."""
-    got = folds.drain(spark, sf, folds.hourly_counts, table(spark, sf, "events").schema, "events*.parquet")
+    got = folds.drain(spark, sf, folds.hourly_counts, table(spark, sf, "events").schema, ["hour", "event_type"], "events*.parquet")
     return got.select(F.col("hour").cast("timestamp_ntz").alias("hour"), "event_type", "n", F.col("total").cast("double").alias("total"))
 
 
@@ -370,14 +370,15 @@ _HEDGE = "list_filter([{}], lambda h: contains(lower(coalesce(comments, '') || '
 _CANON = "CASE w {} ELSE w END".format(" ".join(f"WHEN '{w}' THEN '{g[0]}'" for g in names.SYNONYMS for w in g))
 _WORDS = "list_distinct(list_filter(regexp_split_to_array(lower(trim(regexp_replace(replace({0}, '_', ' '), '([a-z])([A-Z])', '\\1 \\2', 'g'))), '\\s+'), lambda w: w <> '' AND w NOT IN ({1})))"
 _NOISE = ", ".join(f"'{w}'" for w in names.NOISE)
-_ADDRESS = """CASE WHEN regexp_matches(lower(x), '^0x[0-9a-f]{1,15}$') THEN lower(x)::BIGINT WHEN regexp_matches(x, '^(0+|[1-9][0-9]{0,17})$') THEN x::BIGINT
-    WHEN regexp_matches(lower(x), '^[0-9a-f]{1,15}$') THEN ('0x' || x)::BIGINT END"""
+_ADDRESS = """CASE WHEN regexp_matches(lower(x), '^0x[0-9a-f]{1,16}$') THEN try_cast(lower(x) AS BIGINT) WHEN regexp_matches(x, '^(0+|[1-9][0-9]{0,18})$') THEN try_cast(x AS BIGINT)
+    WHEN regexp_matches(lower(x), '^[0-9a-f]{1,16}$') THEN try_cast('0x' || x AS BIGINT) END"""
 
 
 def _quoted(pattern: str) -> str:
     return "'" + pattern.replace("'", "''") + "'"
 
 
+_DEFINITION = r"(?m)^(?:static[ \t]+)?([A-Za-z_][\w \t*]*[ \t*])(\w+)[ \t]*\(([^(){};]*)\)\s*\{"
 _MACHINE = f"regexp_matches(text, {_quoted(code.LOOP)}) AND regexp_matches(text, {_quoted(code.SWITCH)})"
 _COUNT = lambda patterns: " + ".join(f"regexp_matches(text, {_quoted(p)})::INT" for p in patterns)
 _CASES = f"len(regexp_extract_all(text, {_quoted(code.CASE)}))"
@@ -404,9 +405,16 @@ SQL = {
     "a5_duplicate_names": f"""WITH {_L} SELECT binary_id, name, address, n FROM (SELECT binary_id, name, address, count(*) OVER (PARTITION BY binary_id, name) AS n
         FROM (SELECT DISTINCT binary_id, name, address FROM last WHERE {_USABLE})) WHERE n > 1""",
     "j1_signature_match": f"WITH {_R}, {_KEYS} SELECT result_id, sig_id FROM r JOIN keys ON key = lower(ltrim(name, '_'))",
-    "j2_answers_of_functions": f"""WITH {_F}, {_P} SELECT f.binary_id, f.address, response_id FROM f LEFT JOIN (
-        SELECT binary_id, address, response_id FROM q WHERE address IS NOT NULL QUALIFY row_number() OVER (PARTITION BY binary_id, address ORDER BY received_at DESC NULLS LAST, response_id DESC) = 1) q
-        ON q.binary_id = f.binary_id AND q.address = f.address""",
+    "j2_answers_of_functions": f"""WITH {_F}, {_P}, body AS (SELECT response_id, binary_id, received_at, regexp_extract(raw, '(?s)[\\[{{].*[\\]}}]') AS t FROM q WHERE address IS NULL),
+        j AS (SELECT *, coalesce(try_cast(nullif(t, '') AS JSON), try_cast(nullif(regexp_replace(t, ',(\\s*[}}\\]])', '\\1', 'g'), '') AS JSON)) AS j FROM body),
+        items AS (SELECT response_id, binary_id, received_at, i AS pos, CASE WHEN json_type(j) = 'OBJECT' THEN j ELSE json_extract(j, '$[' || i || ']') END AS item
+            FROM (SELECT *, unnest(range(CASE json_type(j) WHEN 'ARRAY' THEN json_array_length(j)::BIGINT WHEN 'OBJECT' THEN 1 ELSE 0 END)) AS i FROM j)),
+        said AS (SELECT *, trim(json_extract_string(item, '$.address')) AS x FROM items),
+        rows AS (SELECT response_id, binary_id, address, received_at, -1 AS pos FROM q WHERE address IS NOT NULL
+            UNION ALL SELECT * FROM (SELECT response_id, binary_id, {_ADDRESS} AS address, received_at, pos FROM said) WHERE address <> 0)
+        SELECT f.binary_id, f.address, response_id FROM f LEFT JOIN (SELECT binary_id, address, response_id FROM rows
+            QUALIFY row_number() OVER (PARTITION BY binary_id, address ORDER BY received_at DESC NULLS LAST, response_id DESC, pos DESC) = 1) r
+        ON r.binary_id = f.binary_id AND r.address = f.address""",
     "j4_sites_in_functions": f"""WITH {_F}, {_E} SELECT f.binary_id, f.address, count(*) AS n_sites, min(site_addr) AS first_site
         FROM e JOIN f ON e.binary_id = f.binary_id AND site_addr >= f.address AND site_addr < f.address + f.size GROUP BY ALL""",
     "s6_callees": f"""WITH {_F}, {_E} SELECT DISTINCT e.binary_id, caller, callee FROM e JOIN f ON f.binary_id = e.binary_id AND f.address = callee
@@ -423,10 +431,14 @@ SQL = {
         c AS (SELECT DISTINCT b, u AS chain, 0 AS pos, u AS node FROM one o WHERE NOT EXISTS (SELECT 1 FROM one x WHERE x.b = o.b AND x.v = o.u)
             UNION ALL SELECT c.b, chain, pos + 1, o.v FROM c JOIN one o ON o.b = c.b AND o.u = c.node)
         SELECT b AS binary_id, chain, pos, node AS address FROM c""",
-    "g8_source_edges": f"""WITH d AS (SELECT doc_id, regexp_extract(text, '@name\\s+(\\S+)', 1) AS name, regexp_extract(text, '@address\\s+(0x[0-9a-fA-F]+)', 1) AS a,
-            regexp_extract(text, '(?s)\\{{(.*)$', 1) AS body FROM documents WHERE text IS NOT NULL),
-        x AS (SELECT *, a::BIGINT AS caller FROM d WHERE regexp_matches(a, '^0x[0-9a-fA-F]{{1,15}}$') AND name <> ''),
-        known AS (SELECT name, arg_max(caller, doc_id) AS known FROM x GROUP BY name),
+    "g8_source_edges": f"""WITH lines AS (SELECT doc_id, generate_subscripts(l, 1) AS i, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL)),
+        numbered AS (SELECT *, sum((line = '/**')::INT) OVER (PARTITION BY doc_id ORDER BY i) AS block FROM lines),
+        blocks AS (SELECT doc_id, block, string_agg(line, chr(10) ORDER BY i) AS text FROM numbered GROUP BY ALL),
+        bare AS (SELECT *, regexp_replace(regexp_replace(text, '(?s)^\\s*/\\*.*?\\*/\\s*', ''), '(?s)^\\s*/\\*.*?\\*/\\s*', '') AS rest FROM blocks),
+        d AS (SELECT doc_id, block, regexp_extract(text, '@name\\s+(\\S+)', 1) AS name, regexp_extract(text, '@address\\s+(0x[0-9a-fA-F]+)', 1) AS a,
+            regexp_extract(rest, '(?s)\\{{(.*)$', 1) AS body FROM bare),
+        x AS (SELECT *, try_cast(a AS BIGINT) AS caller FROM d WHERE regexp_matches(a, '^0x[0-9a-fA-F]{{1,16}}$') AND name <> ''),
+        known AS (SELECT name, arg_max(caller, (doc_id, block)) AS known FROM x GROUP BY name),
         calls AS (SELECT DISTINCT caller, unnest(regexp_extract_all(body, '([A-Za-z_][A-Za-z0-9_]*)\\s*\\(', 1)) AS n FROM x)
         SELECT DISTINCT caller, callee FROM (SELECT caller, coalesce(known, CASE WHEN regexp_matches(n, '^(?:thunk_)?FUN_[0-9a-fA-F]{{8}}$') THEN ('0x' || right(n, 8))::BIGINT END) AS callee
             FROM calls LEFT JOIN known ON name = n WHERE n NOT IN ({_CONTROL})) WHERE callee IS NOT NULL""",
@@ -463,11 +475,11 @@ SQL = {
     "f31_limits": """SELECT u.model, coalesce(max_output_tokens, greatest(256, least(8192, capacity_tokens // 8)), 4096)::INT AS max_output
         FROM (SELECT DISTINCT model FROM responses) u LEFT JOIN model_limits m ON m.model = u.model""",
     "f12_confidences": f"""WITH {_P}, x AS (SELECT response_id, generate_subscripts(s, 1) - 1 AS pos, unnest(s) AS said FROM (
-        SELECT response_id, regexp_extract_all(raw, '"confidence": "?([^",}}\n]*)', 1) AS s FROM q)),
+        SELECT response_id, regexp_extract_all(raw, '"confidence"\\s*:\\s*"?([^",}}\n]*)', 1) AS s FROM q)),
         v AS (SELECT *, try_cast(trim(rtrim(trim(said), '%')) AS DOUBLE) AS d FROM x)
         SELECT response_id, pos::INT AS pos, CASE WHEN d IS NULL OR isnan(d) THEN 0 ELSE greatest(0, least(100, round_even(CASE WHEN d > 0 AND d < 1 THEN d * 100 ELSE d END, 0))) END::INT AS score FROM v""",
     "f12_addresses": f"""WITH {_P} SELECT response_id, pos::INT AS pos, {_ADDRESS} AS address FROM (SELECT response_id, generate_subscripts(s, 1) - 1 AS pos, unnest(s) AS x FROM (
-        SELECT response_id, regexp_extract_all(raw, '"address": "?([0-9a-fA-Fx]+)', 1) AS s FROM q))""",
+        SELECT response_id, regexp_extract_all(raw, '"address"\\s*:\\s*"?([0-9a-fA-Fx]+)', 1) AS s FROM q))""",
     "f13_fences": f"""WITH {_P} SELECT response_id, md5(CASE WHEN regexp_matches(raw, '(?s)```[a-zA-Z]*[ \\t]*\\n.*?```') THEN regexp_extract(raw, '(?s)```[a-zA-Z]*[ \\t]*\\n(.*?)\\n?```', 1)
         ELSE trim(raw) END) AS inner_md5 FROM q WHERE raw IS NOT NULL""",
     "f8_signatures": f"""WITH {_R} SELECT result_id, return_type, pname AS name, n_params FROM (SELECT result_id, {_sig_parts("signature")} FROM r
@@ -517,11 +529,15 @@ SQL = {
             (coalesce(o.calls, 0) + coalesce(n.calls, 0))::BIGINT AS llm_calls, n.calls IS NOT NULL AS refined
         FROM (SELECT * FROM a WHERE NOT ref) o FULL JOIN (SELECT * FROM a WHERE ref) n ON o.binary_id = n.binary_id AND o.address = n.address""",
     "k7_log_lines": f"""WITH {_R} SELECT result_id, m || CASE WHEN coalesce(error, '') <> '' AND NOT contains(coalesce(name, '') || ' ' || a, error) THEN ': ' || error ELSE '' END AS line
-        FROM (SELECT *, strftime(made_at, '%Y-%m-%d %H:%M:%S') || CASE WHEN coalesce(error, '') <> '' THEN ' WARNING' ELSE ' INFO' END || ' result ' || coalesce(name, '') || ' ' || printf('0x%08x', address) AS m,
-            printf('0x%08x', address) AS a FROM r WHERE made_at IS NOT NULL AND address IS NOT NULL)""",
+        FROM (SELECT *, coalesce(strftime(made_at, '%Y-%m-%d %H:%M:%S') || ' ', '') || CASE WHEN coalesce(error, '') <> '' THEN 'WARNING' ELSE 'INFO' END || ' result ' || coalesce(name, '') || ' ' || printf('0x%08x', address) AS m,
+            printf('0x%08x', address) AS a FROM r WHERE address IS NOT NULL)""",
     "k1_export": f"WITH {_L} SELECT binary_id, address, name, confidence, address AS read_address FROM last WHERE {_DONE}",
     "k2_source_order": f"""WITH {_L} SELECT binary_id, address, coalesce(list_position(['crypto', 'networking', 'io', 'memory', 'string', 'math', 'init', 'cleanup', 'handler', 'parser', 'utility'], {_CLASS}) - 1, 11)::INT AS section_rank
         FROM last WHERE {_USABLE}""",
+    "s16_c_functions": f"""WITH m AS (SELECT doc_id, generate_subscripts(n, 1) AS i, unnest(n) AS name, unnest(t) AS ty, unnest(p) AS pa FROM (
+            SELECT doc_id, regexp_extract_all(text, '{_DEFINITION}', 2) AS n, regexp_extract_all(text, '{_DEFINITION}', 1) AS t, regexp_extract_all(text, '{_DEFINITION}', 3) AS p FROM documents WHERE text IS NOT NULL))
+        SELECT doc_id, name, trim(ty, ' ') || ' ' || name || '(' || trim(pa, ' ') || ')' AS signature FROM m
+        WHERE NOT regexp_matches(ty || name, '[ \\t*]\\d\\w*[ \\t*]+\\w') AND name NOT IN ({_CONTROL})""",
     "t2_stream_hours": """SELECT date_trunc('hour', ts)::TIMESTAMP AS hour, event_type, count(*) AS n, sum(value::DECIMAL(20, 4))::DOUBLE AS total FROM events GROUP BY ALL""",
     "t3_user_state": """SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type, count(*) AS n_events FROM events GROUP BY user_id""",
 }

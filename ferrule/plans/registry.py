@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ferrule.plans import general, programs, reference
+from ferrule.plans import general, programs, reference, reports
 
-FLAGSHIP = "d7_conflicts"
-MODULES = [general, reference, programs]
+FLAGSHIP = "d7_report"
+MODULES = [general, reference, programs, reports]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -29,11 +29,17 @@ def local_session(app: str = "ferrule", cpus: int | None = None) -> SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can read: spark.checkpoint.dir, or a new local one where it is unset (tests)."""
+    """The folder every executor can read: spark.checkpoint.dir, or a new local one where it is unset and the master is local.
+
+    A cluster without the setting is an error: its executors can't read the driver's folders.
+    """
     sc = spark.sparkContext
     here = sc.getCheckpointDir()
     if here is None:
-        here = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-ferrule-")
+        here = spark.conf.get("spark.checkpoint.dir", None)
+        if here is None and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        here = here or tempfile.mkdtemp(prefix="spark-ferrule-")
         sc.setCheckpointDir(here)
     return here
 
@@ -50,7 +56,7 @@ def cut(df: DataFrame) -> DataFrame:
     plan, which joins multiply; over the rounds of a loop that number alone takes minutes to compute.)
     """
     path = f"{scratch_dir(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -81,6 +81,7 @@ def log_line(at: Column, level: Column, kind: Column, message: Column, error: Co
 
 #: Where a text is split into exported functions, and a comment in front of a body: the tags, then the brief as prose.
 BLOCK, LEADING = r"(?md)^(?=/\*\*$)", r"(?s)\A\s*/\*.*?\*/\s*"
+# fixed values: the format of placeholder names; a call is a C name and a parenthesis
 CALL, PLACEHOLDER = r"([A-Za-z_][A-Za-z0-9_]*)\s*\(", r"^(?:thunk_)?FUN_([0-9a-fA-F]{8})$"
 
 

@@ -10,13 +10,16 @@ from pyspark.sql import functions as F
 from ferrule.session import scratch_dir
 
 
-def hourly_counts(events: DataFrame, at: str = "ts", key: str = "event_type", late: str = "1 hour") -> DataFrame:
-    """(hour, key, n, total) in tumbling windows of an hour; events later than the watermark are dropped on a live stream.
+def hourly_counts(events: DataFrame, at: str = "ts", key: str = "event_type", late: str | None = None) -> DataFrame:
+    """(hour, key, n, total) in tumbling windows of an hour.
+
+    `late` is the watermark of a live stream: it bounds the state, and events that come later are dropped. Without one, as for
+    a bounded set of files, every event counts, in whatever order files come.
 
     Works on batch and streaming frames alike; times without a zone are read as UTC.
     """
     timed = events.withColumn("_at", F.col(at).cast("timestamp"))
-    if events.isStreaming:
+    if events.isStreaming and late:
         timed = timed.withWatermark("_at", late)
     return timed.groupBy(F.window("_at", "1 hour").alias("w"), key).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("value").cast("decimal(20,4)")).alias("total")).select(
         F.col("w.start").alias("hour"), key, "n", "total"
@@ -29,14 +32,13 @@ def latest_state(events: DataFrame, key: str, at: str, columns: list[str]) -> Da
     return events.groupBy(key).agg(F.max(order).alias("s"), F.count(F.lit(1)).alias("n_events")).select(key, *[F.col(f"s.{c}").alias(c) for c in [at, *columns]], "n_events")
 
 
-def drain(spark: SparkSession, source: str, fold, schema, pattern: str = "*") -> DataFrame:
-    """Run a fold over all files of a folder as a stream with trigger availableNow; the result is the last update of each window.
+def drain(spark: SparkSession, source: str, fold, schema, keys: list[str], pattern: str = "*") -> DataFrame:
+    """Run a fold over all files of a folder as a stream with trigger availableNow; the result is the last update for each of its `keys`.
 
     The checkpoint is in the shared folder, so a restarted query goes on where it stopped.
     """
     where = f"{scratch_dir(spark)}/stream-{uuid.uuid4().hex}"
     stream = fold(spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(source))
-    keys = [c for c in stream.columns if c not in ("n", "total")]
 
     def store(batch: DataFrame, number: int) -> None:
         batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{where}/out/batch={number}")

@@ -1,15 +1,30 @@
 import random
 
+from pyspark.sql import functions as F
+
 from ferrule.llm import truncation as tr
 
 
-def test_brackets():
-    assert tr.open_brackets('{"a": "}"}') is False
-    assert tr.open_brackets('{"a": "b') is True and tr.open_brackets('[{"a": 1}') is True
-    assert tr.open_brackets("{name: 1,}") is False and tr.open_brackets("prose") is None
-    assert tr.open_brackets('{"a": "' + "x\\" * 50_000) is True
-    assert tr.unmarked("half a wor…") == "half a wor" and tr.unmarked('{"a\n```\n[connection reset]').rstrip() == '{"a'
+def test_brackets(spark):
+    texts = ['{"a": "}"}', '{"a": "b', '[{"a": 1}', "{name: 1,}", "prose", '{"a": "' + "x\\" * 50_000, "", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", tr.open_brackets(F.col("t"))).collect()
+    assert dict(map(tuple, rows)) == dict(enumerate([False, True, True, False, None, True, None, None]))
+    note = "[" + "connection reset while the answer was still being received from the server" + "]"
+    assert tr.unmarked("half a wor…") == "half a wor" and tr.unmarked(f'{{"a\n```\n{note} ').rstrip() == '{"a'
+    assert tr.unmarked("a" + "... " * 100_000) == "a" and tr.unmarked('x["a"]') == 'x["a"]'
     assert tr.ending("It ends.", False) is None and tr.ending("It goes o", False) == ("prose", "It goes o")
+    assert tr.ending('{"a', True, True) == ("json", '{"a') and tr.ending('{"a": 1} so the fun', True, False) == ("prose", " so the fun")
+
+
+def test_evidence_is_needed(spark):
+    """A single cut answer isn't a case: nothing shows how it would go on. A longer copy is evidence enough."""
+    cut = '{"name": "walk", "items": [{"size": 3, "note": "The fun'
+    rows = [("raw", 1, "m", cut), ("raw", 2, "m", cut), ("raw", 3, "m", None)]
+    schema = "field string, record_id long, model string, value string"
+    assert tr.truncated(spark.createDataFrame(rows, schema)).count() == 0
+    rows.append(("raw", 4, "m", '{"name": "walk", "items": [{"size": 3, "note": "The fun begins here."}]}'))
+    found = {tuple(r) for r in tr.truncated(spark.createDataFrame(rows, schema)).collect()}
+    assert found == {("raw", 1), ("raw", 2)}
 
 
 def corpus(rng, n):

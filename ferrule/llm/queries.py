@@ -36,7 +36,7 @@ def p5_offsets(spark: SparkSession, sf: str) -> DataFrame:
     ids = enc.encode(docs, offsets=True)
     spelled = enc.decode(ids).withColumnRenamed("text", "spelled")
     return ids.join(spelled, "doc_id").join(docs, "doc_id").select(
-        "doc_id", F.size("ids").alias("n_tokens"), F.element_at("starts", -1).alias("last_start"), (F.col("spelled") == F.coalesce("text", F.lit(""))).alias("same")
+        "doc_id", F.size("ids").alias("n_tokens"), F.try_element_at("starts", F.lit(-1)).alias("last_start"), (F.col("spelled") == F.coalesce("text", F.lit(""))).alias("same")
     )
 
 

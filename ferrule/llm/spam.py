@@ -11,15 +11,13 @@ bare links.
 from __future__ import annotations
 
 import html
-import math
-import re
 import unicodedata
-from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ferrule.session import cut, ship
@@ -34,95 +32,180 @@ FUNCTION_WORDS = {
 }
 WORDS = {lang: frozenset(w.split()) for lang, w in FUNCTION_WORDS.items()}
 EVERY = frozenset().union(*WORDS.values())
-LINK = re.compile(r"(?:https?|hxxps?|ftp)://\S+|www\.\S+|\b[\w.-]+\.(?:[a-z]{2,8})/\S*|\b[\w-]+(?:\.[\w-]+)*\.(?:com|net|org|example|html?)\b", re.I)
-TAG, ZERO = re.compile(r"<[^<>]{0,200}>"), re.compile("[​-‏⁠﻿­]")
-LEET = str.maketrans("013457@$", "oieastas")
-MIXED = re.compile(r"(?<![\w#])(?=\w*[^\W\d_])(?!0x)[^\W_]*[0134578@$][^\W_]*(?:[0134578@$][^\W_]*)*")
-WORD = re.compile(r"[^\W\d_]+")
-CODE = re.compile(
-    r"[{}=%\\^~&+]|;\s*$|(?<=\w) ?\*|->|\(\)|0x[0-9a-f]+|(?<!\.)\b(?=[a-f]*\d)[0-9a-f]{4,}\b|\b\d\d?:\d\d|(?<![\d.])\d{3,}(?![\d.])"
-    r"|\b[0-9a-f]{2}(?= [0-9a-f]{2}\b)|^\s*#\s*(?:define|include|ifn?def|endif|pragma)\b",
-    re.I | re.M,
+# patterns of Java's engine, for text in lower case
+LINK = r"(?:https?|hxxps?|ftp)://\S++|www\.\S++|(?<!\w)(?=[\w-]++\.)(?:[\w.-]+\.[a-z]{2,8}/\S*+|[\w-]++(?:\.[\w-]+)*\.(?:com|net|org|example|html?)(?!\w))"
+TAG, NUMBERED, LINKED = "<[^<>]*+>", r"\]\s*+\(\d++\)", ""
+INVISIBLE = dict.fromkeys([*range(0x200B, 0x2010), 0x2060, 0xFEFF, 0xAD, 0xE000])
+CODE = (
+    r"(?m)[{}=%\\^~&+]|;\s*+$|(?<=\w) ?\*|->|\(\)|(?=[0-9a-f])(?:0x[0-9a-f]++|(?<![\w.])(?=[a-f]*+\d)[0-9a-f]{4,}+(?!\w)|(?<!\w)\d\d?:\d\d|(?<![\d.])\d{3,}+(?![\d.])"
+    r"|(?<!\w)[0-9a-f]{2}(?= [0-9a-f]{2}(?!\w)))|^\s*+#\s*+(?:define|include|ifn?def|endif|pragma)(?!\w)"
 )
-NUMBERED = re.compile(r"\]\s*\(\d+\)")
-SENTENCE = re.compile(r"[.!?。]+(?=\s|$)")
+SENTENCE = r"[.!?。]+(?=\s|$)"
+#: Digits and signs that stand for letters inside of a word, and those letters; an 8 marks such a word but stays.
+LEET, LEET_FOR = "013457@$", "oieastas"
 
 FEATURES = ("function_words", "run", "repeated", "entropy", "links", "code", "sentences", "variety")
 #: Spam lies where these are larger (+) or smaller (-); the weights say how much a direction counts.
-DIRECTIONS = (-1.0, 1.0, 0.7, -0.3, 0.7, -1.5, -0.4, 0.0)
+DIRECTIONS = (-1.0, 1.0, 0.7, -0.3, 1.0, -1.75, -0.4, 0.0)
 #: Concentration steps, the share of pages they keep, squared distance and cosine from which a page is flagged.
-STEPS, KEPT, DISTANCE, COSINE = 2, 0.75, 13.0, 0.35
-#: A page with more marks of code (the feature's value) is a listing, header or log, whatever else it lacks.
-CODE_LIMIT = 0.75
-
-
-def _clean(text: str) -> tuple[str, int]:
-    """Text without tags, links and invisible marks, letters for the digits inside words; and the number of links."""
-    t = ZERO.sub("", unicodedata.normalize("NFKC", html.unescape(TAG.sub(" ", text)))).lower()
-    t, links = LINK.subn(" ", t)
-    return NUMBERED.sub("] ", t), links
-
-
-def _words(t: str) -> list[str]:
-    return WORD.findall(MIXED.sub(lambda m: m[0].translate(LEET) if re.search(r"[^\W\d_]", m[0]) and len(m[0]) < 30 else m[0], t))
-
-
-def features(text: str) -> tuple[str | None, list[float]]:
-    """(language told by function words, values of FEATURES)."""
-    clean, links = _clean(text)
-    words = _words(clean)
-    n = len(words)
-    cjk = sum(0x3040 <= ord(c) < 0x9FFF for c in clean)
-    if cjk > 0.2 * max(1, len(clean)):
-        grams = [clean[i : i + 3] for i in range(len(clean) - 2)]
-        rep = 1 - len(set(grams)) / max(1, len(grams))
-        return "ja", [0.5, 0.0, rep, 1.0, links / max(1.0, cjk / 3), 0.0, len(SENTENCE.findall(clean)) / max(1.0, cjk / 3), 1 - rep]
-    hits = {lang: sum(w in ws for w in words) for lang, ws in WORDS.items()}
-    lang = max(hits, key=lambda k: hits[k]) if n else None
-    is_function = [w in EVERY for w in words]
-    runs, run = 0, 0
-    for f in [*is_function, True]:
-        if f:
-            runs += run if run >= 6 else 0
-            run = 0
-        else:
-            run += 1
-    bigrams = list(zip(words, words[1:]))
-    content = Counter(b for b, x, y in zip(bigrams, is_function, is_function[1:]) if not x and not y and len(b[0]) > 2 and len(b[1]) > 2)
-    repeated = sum(c for c in content.values() if c > 1) / max(1, len(bigrams))
-    counts = Counter(words)
-    entropy = -sum(c / n * math.log(c / n) for c in counts.values()) / math.log(max(n, 2)) if n else 0.0
-    code = len(CODE.findall(clean)) / (n + 1)
-    own = sum(is_function) / max(1, n)
-    told = lang if n and hits[lang] >= 0.12 * n else None
-    return told, [
-        math.sqrt(own), runs / max(1, n), math.sqrt(repeated), entropy, math.log1p(10 * links / (n + 1)), math.log1p(5 * code),
-        math.log1p(10 * len(SENTENCE.findall(clean)) / (n + 1)), len(counts) / max(1.0, n**0.8),
-    ]
+STEPS, KEPT, DISTANCE, COSINE = 2, 0.75, 13.0, 0.37
+
+
+_BASE, _MIX = np.uint64(0xD6E8FEB86659FD93), np.uint64(0x9E3779B97F4A7C15)
+
+
+@cache
+def _classes() -> np.ndarray:
+    """A bit set for each code point: 1 letter, 2 letter or digit, 4 sign that may stand for a letter."""
+    out = np.zeros(0x110000, np.uint8)
+    for c in range(len(out)):
+        x = chr(c)
+        if x.isalnum():
+            out[c] = 2 if x.isdecimal() else 3
+    for x in LEET + "8":
+        out[ord(x)] |= 4
+    return out
+
+
+def _runs(inside: np.ndarray, page: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the stretches inside, none of which crosses pages."""
+    if not len(inside):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    edge = np.append(True, page[1:] != page[:-1])
+    before, after = np.append(False, inside[:-1]), np.append(inside[1:], False)
+    return np.flatnonzero(inside & (~before | edge)), np.flatnonzero(inside & (~after | np.append(edge[1:], True))) + 1
+
+
+def _word_hashes(code: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of code[start:end] for each pair."""
+    size = end - start
+    if not len(size):
+        return np.zeros(0, np.uint64)
+    powers = np.cumprod(np.full(int(size.max()) + 1, _BASE, np.uint64))
+    first = np.cumsum(size) - size
+    place = np.arange(size.sum()) - np.repeat(first, size)
+    total = np.cumsum(code[np.repeat(start, size) + place].astype(np.uint64) * powers[place])
+    last = total[first + size - 1]
+    h = (last - np.append(np.uint64(0), last[:-1]) ^ size.astype(np.uint64)) * _MIX
+    return h ^ (h >> np.uint64(31))
+
+
+@cache
+def _known() -> dict[str, np.ndarray]:
+    def hashes(words: frozenset[str]) -> np.ndarray:
+        listed = sorted(words)
+        code = np.array([ord(c) for c in "".join(listed)], np.uint32)
+        end = np.cumsum([len(w) for w in listed])
+        return _word_hashes(code, end - [len(w) for w in listed], end)
+
+    return {lang: hashes(words) for lang, words in [*WORDS.items(), ("", EVERY)]}
+
+
+def _tally(page: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(page, number) of each distinct pair."""
+    order = np.lexsort((key, page))
+    p, k = page[order], key[order]
+    new = np.flatnonzero(np.append(True, (p[1:] != p[:-1]) | (k[1:] != k[:-1]))) if len(p) else np.zeros(0, np.int64)
+    return p[new], np.diff(np.append(new, len(p)))
+
+
+def page_features(texts: pd.Series, links: np.ndarray, code_marks: np.ndarray, sentences: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(language told by function words, "" for none; values of FEATURES by page) of cleaned pages in lower case.
+
+    All pages of a batch are one array of code points; words are stretches of letters in it, known by hashes.
+    """
+    n_pages, lengths = len(texts), texts.str.len().to_numpy(np.int64)
+    code = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).copy()
+    page = np.repeat(np.arange(n_pages), lengths)
+    by = lambda at, w=None: np.bincount(at, w, n_pages).astype(float)
+    kind = _classes()[code]
+    # words disguised by digits and signs
+    start, end = _runs(kind > 1, page)
+    if len(start):
+        has = lambda what: np.add.reduceat((kind & what > 0).astype(np.int64), np.stack([start, np.minimum(end, len(code) - 1)], 1).ravel())[::2] > 0
+        free = (start == 0) | ~np.isin(code[start - 1], [ord("_"), ord("#")]) | (page[start] != page[start - 1])
+        hexadecimal = (code[start] == ord("0")) & (code[np.minimum(start + 1, len(code) - 1)] == ord("x"))
+        mixed = has(1) & has(4) & free & ~hexadecimal
+        at = np.repeat(start[mixed], (end - start)[mixed])
+        at = at + np.arange(len(at)) - np.repeat(np.cumsum((end - start)[mixed]) - (end - start)[mixed], (end - start)[mixed])
+        to = np.arange(128, dtype=np.uint32)
+        to[[ord(c) for c in LEET]] = [ord(c) for c in LEET_FOR]
+        at = at[code[at] < 128]
+        code[at] = to[code[at]]
+        kind = _classes()[code]
+    start, end = _runs(kind & 1 > 0, page)
+    word, where, size = _word_hashes(code, start, end), page[start] if len(start) else start, end - start
+    n = by(where)
+    hits = np.stack([by(where, np.isin(word, _known()[lang])) for lang in WORDS])
+    told = np.where((n > 0) & (hits.max(0) >= 0.12 * n), np.array(list(WORDS))[hits.argmax(0)], "")
+    is_function = np.isin(word, _known()[""])
+    low, high = _runs(~is_function, where)
+    bare = by(where[low] if len(low) else low, np.where(high - low >= 6, high - low, 0))
+    pair = (where[1:] == where[:-1]) & ~is_function[1:] & ~is_function[:-1] & (size[1:] > 2) & (size[:-1] > 2)
+    at, times = _tally(where[:-1][pair], (word[:-1] * _BASE ^ word[1:])[pair])
+    repeated = by(at, np.where(times > 1, times, 0)) / np.maximum(1, n - 1)
+    at, times = _tally(where, word)
+    share = times / n[at] if len(at) else times
+    entropy = by(at, -share * np.log(np.maximum(share, 1e-300))) / np.log(np.maximum(n, 2))
+    several, some = n + 1, np.maximum(1, n)
+    out = np.stack([
+        np.sqrt(by(where, is_function) / some), bare / some, np.sqrt(repeated), np.where(n > 0, entropy, 0.0), np.log1p(10 * links / several),
+        5 * code_marks / several, np.log1p(10 * sentences / several), by(at) / np.maximum(1.0, n**0.8),
+    ], 1)
+    # scripts without blanks: sequences of three characters in place of words
+    wide = by(page, (code >= 0x3040) & (code < 0x9FFF))
+    asian = wide > 0.2 * np.maximum(1, lengths)
+    if asian.any():
+        three = np.flatnonzero((page[2:] == page[:-2]) & asian[page[2:]]) if len(code) > 2 else np.zeros(0, np.int64)
+        c = code.astype(np.uint64)
+        at, _ = _tally(page[three], (c[three] << np.uint64(42)) | (c[three + 1] << np.uint64(21)) | c[three + 2])
+        again, per = 1 - by(at) / np.maximum(1, by(page[three])), np.maximum(1.0, wide / 3)
+        flat = np.zeros(n_pages)
+        signs = np.stack([flat + 0.5, flat, again, flat + 1, links / per, flat, sentences / per, 1 - again], 1)
+        out[asian], told = signs[asian], np.where(asian, "ja", told)
+    return told, out
+
+
+def _plain(text: Column) -> Column:
+    """Text without entities, compatibility forms and invisible marks, in Arrow batches."""
+
+    @F.pandas_udf("string")
+    def plain(texts: pd.Series) -> pd.Series:
+        spelled = (html.unescape(t) if "&" in t else t for t in texts)
+        return pd.Series([t if t.isascii() else unicodedata.normalize("NFKC", t).translate(INVISIBLE) for t in spelled], dtype=object)
+
+    return plain(text)
 
 
 def page_vectors(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """(key, grp, page, FEATURES...) of every page with at least one visible character; whole texts are read.
 
-    `page` is a hash of the text, the same for all its copies.
+    `page` is a hash of the text, the same for all its copies. Tags, links and marks are found by the engine's own patterns,
+    words in arrays of a whole batch.
     """
     ship(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for k, page, t, declared in zip(batch[key], batch["page"], batch[text], batch[lang]):
-                told, values = features(t)
-                declared = (declared or "").lower().split("-")[0]
-                rows.append((k, told or (declared if declared in WORDS else "none"), page, *values))
-            yield pd.DataFrame(rows, columns=[key, "grp", "page", *FEATURES])
-
-    return (
-        docs.select(key, text, lang, F.md5(F.encode(text, "utf-8")).alias("page"))
-        .where(F.col(text).rlike(r"\S"))
-        .mapInPandas(run, f"`{key}` {kind}, grp string, page string, " + ", ".join(f"{f} double" for f in FEATURES))
-    )
+            low, upto = 0, batch["_clean"].str.len().cumsum().to_numpy()
+            while low < len(batch):  # some million characters at a time
+                high = max(low + 1, int(np.searchsorted(upto, (upto[low - 1] if low else 0) + (1 << 21), "right")))
+                part = batch.iloc[low:high]
+                told, values = page_features(part["_clean"].reset_index(drop=True), *(part[c].to_numpy(float) for c in ("_links", "_code", "_sentences")))
+                grp = np.where(told != "", told, part["_declared"].where(part["_declared"].isin(list(WORDS)), "none"))
+                yield pd.DataFrame({key: part[key].to_numpy(), "grp": grp, "page": part["page"].to_numpy(), **{f: values[:, i] for i, f in enumerate(FEATURES)}})
+                low = high
+
+    seen = docs.where(F.col(text).rlike(r"\S")).select(
+        key, F.md5(F.encode(text, "utf-8")).alias("page"), F.split(F.lower(F.coalesce(F.col(lang), F.lit(""))), "-")[0].alias("_declared"),
+        _plain(F.regexp_replace(text, TAG, " ")).alias("_text"),
+    )
+    low = seen.withColumn("_text", F.lower("_text")).where(F.col("_text").rlike(r"\S"))
+    marked = low.withColumn("_text", F.regexp_replace(F.regexp_replace("_text", LINK, LINKED), NUMBERED, "] "))
+    clean = marked.withColumn("_clean", F.translate("_text", LINKED, " ")).withColumn("_links", F.length("_text") - F.length(F.translate("_text", LINKED, "")))
+    counted = clean.select(key, "page", "_declared", "_clean", "_links", F.regexp_count("_clean", F.lit(CODE)).alias("_code"), F.regexp_count("_clean", F.lit(SENTENCE)).alias("_sentences"))
+    return counted.mapInPandas(run, f"`{key}` {kind}, grp string, page string, " + ", ".join(f"{f} double" for f in FEATURES))
 
 
 def _moments(x: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
@@ -171,28 +254,23 @@ FLOOR = np.array([0.06, 0.08, 0.08, 0.04, 0.15, 0.15, 0.12, 0.15])
 
 
 def score(vectors: DataFrame, fit: dict[str, tuple[np.ndarray, np.ndarray]]) -> DataFrame:
-    """vectors + (d2, cosine): squared distance and the cosine between the whitened deviation and the spam directions."""
-    names = vectors.columns
-    axis = np.array(DIRECTIONS)
+    """vectors + (d2, cosine): squared distance and the cosine between the whitened deviation and the spam directions.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            x, d2, cosine = batch[list(FEATURES)].to_numpy(float), np.zeros(len(batch)), np.zeros(len(batch))
-            for grp in batch["grp"].unique():
-                at = (batch["grp"] == grp).to_numpy()
-                mean, white = fit[grp]
-                z = (x[at] - mean) @ white
-                towards = axis / np.linalg.norm(axis)
-                d2[at] = (z**2).sum(axis=1)
-                cosine[at] = z @ towards / np.sqrt(np.maximum(d2[at], 1e-12))
-            yield batch.assign(d2=d2, cosine=cosine)
-
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in vectors.schema.fields if f.name not in ("d2", "cosine"))
-    return vectors.select(*[n for n in names if n not in ("d2", "cosine")]).mapInPandas(run, ddl + ", d2 double, cosine double")
+    The fit, a row for each language and two more, is joined to the pages as arrays.
+    """
+    towards = F.array(*[F.lit(float(v)) for v in np.array(DIRECTIONS) / np.linalg.norm(DIRECTIONS)])
+    rows = [(g, [float(v) for v in mean], [[float(v) for v in column] for column in white.T]) for g, (mean, white) in fit.items()]
+    groups = vectors.sparkSession.createDataFrame(rows, "grp string, _m array<double>, _w array<array<double>>")
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    kept = [c for c in vectors.columns if c not in ("d2", "cosine")]
+    off = F.zip_with(F.array(*FEATURES), "_m", lambda x, m: x - m)
+    z = vectors.join(F.broadcast(groups), "grp").select(*kept, "_w", off.alias("_off")).select(*kept, F.transform("_w", lambda w: dot(F.col("_off"), w)).alias("_z"))
+    both = z.select(*kept, dot(F.col("_z"), F.col("_z")).alias("d2"), dot(F.col("_z"), towards).alias("_along"))
+    return both.select(*kept, "d2", (F.col("_along") / F.sqrt(F.greatest("d2", F.lit(1e-12)))).alias("cosine"))
 
 
 def spam_pages(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """vectors and scores of the pages flagged; null, empty and blank texts are never flagged, repeated rows once."""
     vectors = cut(page_vectors(docs, key, text, lang))
     fit = robust_fit(vectors)
-    return score(vectors, fit).where((F.col("d2") >= DISTANCE) & (F.col("cosine") >= COSINE) & (F.col("code") < CODE_LIMIT)).dropDuplicates([key])
+    return score(vectors, fit).where((F.col("d2") >= DISTANCE) & (F.col("cosine") >= COSINE)).dropDuplicates([key])

@@ -30,6 +30,21 @@ def test_found(spark):
     assert len(truth & set(got)) >= 0.95 * len(truth) and len(set(got) - truth) <= 3
 
 
+def test_cleaned(spark):
+    """Long tags are no links, disguised words of any length are read, blanks of any kind are no page, code is no spam."""
+    tag = '<a href="http://x.example/' + "y" * 300 + '">'
+    rows = [(1, tag + " plain words here", "en"), (2, "\u00a0\u2003", "en"), (3, "pr0gr4mm3r" * 6 + " ends", "en"), (4, "deb u&#103;ger &amp; more", "xx"), (5, tag + "only", None)]
+    got = {r.doc_id: r for r in spam.page_vectors(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert set(got) == {1, 3, 4, 5} and got[1].links == 0 and got[5].links == 0
+    # one word of 60 letters and another
+    assert abs(got[3].variety - 2 / 2**0.8) < 1e-9 and got[3].code == 0
+    headers = [(i, "".join(f"#define NAME_{j} 0x{i * 131 + j:x}\n#include \"part_{j}.h\"\n" for j in range(20)), "en") for i in range(30)]
+    texts, truth = pages(random.Random(8), 300)
+    df = spark.createDataFrame([*[(1000 + i, *r) for i, *r in headers], *texts], "doc_id long, text string, lang string")
+    found = {r.doc_id for r in spam.spam_pages(df).select("doc_id").collect()}
+    assert len(found & truth) >= 0.95 * len(truth) and len(found - truth) <= 2
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], "doc_id long, text string, lang string")
     assert spam.spam_pages(none).count() == 0

@@ -47,6 +47,7 @@ STOPS = ".!?。！？…"
 #: Tokens without a hash of their own; hashes of words are odd, all others even.
 END, STOP, ANY_WORD = 0, 2, 4
 _MIX, _BASE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+_BACK = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
 
 def tokens(text: Column) -> Column:
@@ -91,11 +92,14 @@ def unmarked(text: str) -> str:
 
 
 def open_brackets(text: Column) -> Column:
-    """Whether JSON begins in the text and isn't closed at its end; null if none begins. Other faults don't matter."""
-    rest = F.regexp_extract(text, r"(?s)[\[{].*", 0)
-    bare = F.regexp_replace(F.regexp_replace(rest, r"(?s)\\.", ""), '"[^"]*"', "")
-    n = lambda chars: F.length(bare) - F.length(F.translate(bare, chars, ""))
-    return F.when(rest != "", bare.contains('"') | (n("[{") > n("]}")))
+    """Whether JSON begins in the text and isn't closed at its end; null if none begins. Other faults don't matter.
+
+    All but quotes and brackets is dropped in one pass, then the quoted stretches.
+    """
+    signs = F.regexp_replace(F.regexp_extract(text, r"(?s)[\[{].*", 0), r'(?s)\\.|[^"\\\[\]{}]++', "")
+    n = lambda x, chars: F.length(x) - F.length(F.translate(x, chars, ""))
+    judged = lambda x: F.when(x != "", x.contains('"') | (n(x, "[{") > n(x, "]}")))
+    return F.transform(F.array(signs), lambda x: F.when(x != "", F.coalesce(judged(F.regexp_replace(x, '"[^"]*"', "")), F.lit(False))))[0]
 
 
 def ending(text: str, structured: bool, still: bool | None = None) -> tuple[str, str] | None:
@@ -116,25 +120,24 @@ def ending(text: str, structured: bool, still: bool | None = None) -> tuple[str,
     return None if core.rstrip()[-1] in STOPS and not marked else ("prose", core)
 
 
-def _rolling(h: np.ndarray, length: int) -> np.ndarray:
-    """A hash of the `length` tokens up to and with each position; meaningless at the first length - 1."""
-    out = np.full(len(h), length, np.uint64)
-    for back in range(length - 1, -1, -1):
-        shifted = np.zeros_like(h)
-        shifted[back:] = h[: len(h) - back]
-        out = (out ^ shifted) * _MIX
-        out ^= out >> np.uint64(29)
-    return out
-
+def _prefixes(h: np.ndarray, place: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(length, where it is one, hash) of the prefixes that end with each position, by differences of one running sum.
 
-def _from_start(h: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """A hash of all tokens of the same text up to and with each position; `place` counts within the text."""
-    powers = np.cumprod(np.full(int(place.max()) + 1, _BASE, np.uint64))
-    total = np.cumsum(h * powers[place])
-    begins = np.flatnonzero(place == 0)
-    before = np.repeat(total[begins] - h[begins] * powers[0], np.diff(np.append(begins, len(h))))
-    out = (total - before ^ place.astype(np.uint64)) * _MIX
-    return out ^ (out >> np.uint64(31))
+    `place` counts within each text; a prefix is the WHOLE text up to there or its last tokens.
+    """
+    n = len(h)
+    power, back = np.cumprod(np.full(n, _BASE, np.uint64)), np.cumprod(np.full(n, _BACK, np.uint64))
+    total = np.append(np.uint64(0), np.cumsum(h * power))
+    at = np.arange(n)
+    begin = at - place
+    whole = (total[1:] - total[begin]) * back[begin] ^ place.astype(np.uint64)
+    for length in (WHOLE, *LENGTHS):
+        if length == WHOLE:
+            out, ok = whole, place >= LENGTHS[0]
+        else:
+            out, ok = (total[1:] - total[np.maximum(at + 1 - length, 0)]) * back ^ np.uint64(length), place >= length - 1
+        out = out * _MIX
+        yield length, ok, out ^ (out >> np.uint64(29))
 
 
 def _skeleton(h: np.ndarray, kept: np.ndarray) -> np.ndarray:
@@ -161,10 +164,9 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.
 
 def _counted(a: np.ndarray, b: np.ndarray, names: list[str]) -> pa.RecordBatch:
     """How often each pair comes, as a batch of three columns."""
-    order = np.lexsort((b, a))
-    a, b = a[order], b[order]
-    new = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))) if len(a) else np.zeros(0, np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(b[new]), pa.array(np.diff(np.append(new, len(a))).astype(np.int64))], names=names)
+    mixed = (a.view(np.uint64) * _MIX) ^ (b.view(np.uint64) * _BASE)
+    _, first, n = np.unique(mixed, return_index=True, return_counts=True)
+    return pa.RecordBatch.from_arrays([pa.array(a[first]), pa.array(b[first]), pa.array(n.astype(np.int64))], names=names)
 
 
 def _following(h: np.ndarray, place: np.ndarray) -> np.ndarray:
@@ -177,13 +179,13 @@ def value_id(field: str, value: str) -> Column:
     return F.md5(F.concat_ws("\u0001", field, value))
 
 
-def token_table(values: DataFrame) -> DataFrame:
+def token_table(values: DataFrame, structured: tuple[str, ...]) -> DataFrame:
     """(vid, field, value, still, words, h) of the distinct non-blank values; copies count once everywhere.
 
     The only place at which whole texts are shuffled, and the only one at which they are cut into tokens.
     """
     once = values.where(F.col("value").rlike(r"\S")).select(value_id("field", "value").alias("vid"), "field", "value").distinct()
-    read = once.select("vid", "field", "value", open_brackets(F.col("value")).alias("still"), tokens(F.col("value")).alias("words"))
+    read = once.select("vid", "field", "value", F.when(F.col("field").isin(*structured), open_brackets(F.col("value"))).alias("still"), tokens(F.col("value")).alias("words"))
     return cut(read.withColumn("h", token_hashes(F.col("words"))))
 
 
@@ -221,11 +223,12 @@ def tails(texts: DataFrame, kept: np.ndarray, structured: tuple[str, ...]) -> Da
         for batch in batches:
             rows = []
             for vid, kind, word, h in zip(batch["vid"], batch["kind"], batch["word"], batch["h"]):
-                s, n = _skeleton(np.asarray(h, np.int64), kept), len(h)
-                for length in (x for x in (WHOLE, *LENGTHS) if n >= x or x == WHOLE and n > LENGTHS[0]):
-                    signed = (_from_start(s, np.arange(n)) if length == WHOLE else _rolling(s[-length - 1 :], length)).view(np.int64)
-                    ahead = length != WHOLE and n > length
-                    rows.append((vid, kind, length, int(signed[-1]), int(signed[-2]) if ahead else 0, word if ahead else None))
+                n = len(h)
+                for length, ok, hashes in _prefixes(_skeleton(np.asarray(h, np.int64), kept), np.arange(n)):
+                    if ok[-1]:
+                        signed = hashes.view(np.int64)
+                        ahead = length != WHOLE and n > length
+                        rows.append((vid, kind, length, int(signed[-1]), int(signed[-2]) if ahead else 0, word if ahead else None))
             yield pd.DataFrame(rows, columns=["vid", "kind", "length", "ctx", "before", "word"])
 
     words = tokens(F.col("core"))
@@ -258,11 +261,9 @@ def continuations(texts: DataFrame, kept: np.ndarray, wanted: DataFrame, n_wante
         mask = np.uint64(64 * len(bits) - 1)
         for h, place in _slices(batches):
             s, after = _skeleton(h, kept), _following(h, place)
-            for length in (WHOLE, *LENGTHS):
-                ctx = _from_start(s, place) if length == WHOLE else _rolling(s, length)
+            for _, ok, ctx in _prefixes(s, place):
                 at = ctx & mask
-                asked = (bits[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
-                ok = asked & (place >= (LENGTHS[0] if length == WHOLE else length - 1))
+                ok &= (bits[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
                 if ok.any():
                     yield _counted(ctx[ok].view(np.int64), after[ok], ["ctx", "f", "n"])
 
@@ -321,7 +322,7 @@ def truncated(values: DataFrame, structured: tuple[str, ...] = ("raw",)) -> Data
     prose or JSON.
     """
     ship(values.sparkSession)
-    judged = evidence(token_table(values), structured)
+    judged = evidence(token_table(values, structured), structured)
     mid_word = F.coalesce((F.col("longer") > 0) & (F.col("longer") > LONGER_RATIO * F.col("same")), F.lit(False))
     goes_on = F.coalesce(F.col("end_share") < F.when(F.col("kind") == "json", JSON_END_SHARE).otherwise(END_SHARE), F.lit(False))
     cases = judged.where(mid_word | goes_on).select("vid")

@@ -35,7 +35,7 @@ def d7_report(spark: SparkSession, sf: str) -> DataFrame:
     last = b.latest_results(spark, sf)
     calls = callsites.call_conflicts(last, table(spark, sf, "documents"), "doc_id", "text")
     found = review.conflicts(last, table(spark, sf, "signatures")).unionByName(calls.select("kind", "binary_id", "address", "detail"))
-    return _ranked(found).orderBy("kind_rank", "binary_id", "address", "detail")
+    return _ranked(found).orderBy("kind_rank", "binary_id", "address", "detail").drop("kind_rank")
 
 
 def l4_reviewed(spark: SparkSession, sf: str) -> DataFrame:

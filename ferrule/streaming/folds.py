@@ -32,8 +32,9 @@ def latest_state(events: DataFrame, key: str, at: str, columns: list[str]) -> Da
     return events.groupBy(key).agg(F.max(order).alias("s"), F.count(F.lit(1)).alias("n_events")).select(key, *[F.col(f"s.{c}").alias(c) for c in [at, *columns]], "n_events")
 
 
-def drain(spark: SparkSession, source: str, fold, schema, keys: list[str], pattern: str = "*") -> DataFrame:
-    """Run a fold over all files of a folder as a stream with trigger availableNow; the result is the last update for each of its `keys`.
+def drain(spark: SparkSession, source: str, fold, schema, pattern: str = "*", values: tuple[str, ...] = ("n", "total")) -> DataFrame:
+    """Run a fold over all files of a folder as a stream with trigger availableNow; the result is the last update of each row, told by
+    all columns but the `values` that the fold updates.
 
     The checkpoint is in the shared folder, so a restarted query goes on where it stopped.
     """
@@ -46,6 +47,6 @@ def drain(spark: SparkSession, source: str, fold, schema, keys: list[str], patte
     query = stream.writeStream.outputMode("update").option("checkpointLocation", f"{where}/checkpoint").trigger(availableNow=True).foreachBatch(store).start()
     query.awaitTermination()
     rows = spark.read.option("recursiveFileLookup", "true").parquet(f"{where}/out")
-    others = [c for c in stream.columns if c not in keys]
+    keys, others = [c for c in stream.columns if c not in values], [c for c in stream.columns if c in values]
     last = rows.groupBy(*keys).agg(F.max(F.struct("_batch", *others)).alias("s"))
     return last.select(*keys, *[F.col(f"s.{c}").alias(c) for c in others])

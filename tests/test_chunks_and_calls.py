@@ -32,6 +32,38 @@ def test_next_fit(spark, most):
     assert chunks.next_fit(df.limit(0), ["k"], "o", F.col("c"), 20, 64, most).count() == 0
 
 
+def shared_walk(rows, budget, most):
+    """Row by row: a row that opens a batch keeps the cost it had against the batch before."""
+    out = {}
+    for k in {r[0] for r in rows}:
+        chunk = used = n = 0
+        seen = set()
+        for _, o, own, items in sorted((r for r in rows if r[0] == k), key=lambda r: r[1]):
+            named = {}
+            for i, c in items or []:
+                if i is not None:
+                    named.setdefault(i, max(c or 0, 0))
+            cost = max(own or 0, 0) + sum(c for i, c in named.items() if i not in seen)
+            if n and (n >= most or used + cost > budget):
+                chunk, used, n, seen = chunk + 1, 0, 0, set()
+            out[k, o] = (chunk, n)
+            used, n, seen = used + cost, n + 1, seen | set(named)
+    return out
+
+
+@pytest.mark.parametrize(("most", "width"), [(4, 4), (4, 64), (1, 8)])
+def test_shared_batches(spark, most, width):
+    rnd = random.Random(most + width)
+    pick = lambda: rnd.choice([None, [], *([(rnd.choice([None, 1, 2, 3, 4, 5]), rnd.choice([None, 3, 8, 40, -1])) for _ in range(rnd.randrange(1, 4))] for _ in range(6))])
+    rows = [(k, i * 3 + k, rnd.choice([0, 2, 9, None, -4]), pick()) for k, n in ((0, 70), (1, 9), (2, 1)) for i in range(n)]
+    kind = "k long, o long, own int, named array<struct<a:bigint,c:int>>, chunks string"
+    df = spark.createDataFrame([(*r, "own column") for r in [*rows, (None, 1, 1, None), (0, None, 1, None)]], kind)
+    got = chunks.shared_batches(df, ["k"], "o", F.col("own"), F.col("named"), 45, width, most)
+    assert got.columns == ["k", "o", "own", "named", "chunks", "chunk", "place"]
+    assert {(r.k, r.o): (r.chunk, r.place) for r in got.collect()} == shared_walk(rows, 45, most)
+    assert chunks.shared_batches(df.limit(0), ["k"], "o", F.col("own"), F.col("named"), 45, width, most).count() == 0
+
+
 def test_lanes(spark):
     sizes = [5, 5, 30, 5, 200, None, 9]
     df = spark.createDataFrame([(1, i, s) for i, s in enumerate(sizes)], "k long, o long, c int")

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ferrule.plans import general, programs, reference, reports
+from ferrule.plans import catalog, general, programs, reference, reports
 
 FLAGSHIP = "d7_report"
-MODULES = [general, reference, programs, reports]
+MODULES = [general, reference, programs, reports, catalog]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -13,9 +13,9 @@ ANALYSIS = """struct<binary: struct<name: string>, stats: map<string, string>,
 SIGNATURES = "name string, aliases array<string>, description string, signature string, indicators struct<constants: array<string>, patterns: array<string>, strings: array<string>>"
 
 
-def read_analyses(spark: SparkSession, path: str) -> DataFrame:
-    """(file, doc): one row for each analysis document; a file that isn't JSON has a null doc."""
-    text = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
+def read_analyses(spark: SparkSession, path: str, wholetext: bool = True) -> DataFrame:
+    """(file, doc): one row for each analysis document, a file or (not wholetext) a line; what isn't JSON has a null doc."""
+    text = spark.read.text(path, wholetext=wholetext).select(F.input_file_name().alias("file"), "value")
     return text.select("file", F.from_json("value", ANALYSIS).alias("doc"))
 
 

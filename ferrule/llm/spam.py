@@ -11,6 +11,7 @@ bare links.
 from __future__ import annotations
 
 import html
+import re
 import unicodedata
 from collections.abc import Iterator
 from functools import cache
@@ -35,10 +36,14 @@ EVERY = frozenset().union(*WORDS.values())
 # patterns of Java's engine, for text in lower case
 LINK = r"(?:https?|hxxps?|ftp)://\S++|www\.\S++|(?<!\w)(?=[\w-]++\.)(?:[\w.-]+\.[a-z]{2,8}/\S*+|[\w-]++(?:\.[\w-]+)*\.(?:com|net|org|example|html?)(?!\w))"
 TAG, NUMBERED, LINKED = "<[^<>]*+>", r"\]\s*+\(\d++\)", ""
-INVISIBLE = dict.fromkeys([*range(0x200B, 0x2010), 0x2060, 0xFEFF, 0xAD, 0xE000])
+#: What every text with a link has.
+MAYBE_LINK = r"://|www\.|\.[a-z]"
+INVISIBLE = re.compile("[\u200b-\u200f\u2060\ufeff\u00ad\ue000]")
+#: The first group only tells signs that a mark can begin with, so that most letters are passed by at once.
 CODE = (
-    r"(?m)[{}=%\\^~&+]|;\s*+$|(?<=\w) ?\*|->|\(\)|(?=[0-9a-f])(?:0x[0-9a-f]++|(?<![\w.])(?=[a-f]*+\d)[0-9a-f]{4,}+(?!\w)|(?<!\w)\d\d?:\d\d|(?<![\d.])\d{3,}+(?![\d.])"
-    r"|(?<!\w)[0-9a-f]{2}(?= [0-9a-f]{2}(?!\w)))|^\s*+#\s*+(?:define|include|ifn?def|endif|pragma)(?!\w)"
+    r"(?m)(?=[{}=%\\^~&+;\s*(#0-9a-f-])(?:[{}=%\\^~&+]|;\s*+$|(?<=\w) ?\*|->|\(\)"
+    r"|(?:(?<!\w)(?=[0-9a-f])|(?=\d))(?:0x[0-9a-f]++|(?<![\w.])(?=[a-f]*+\d)[0-9a-f]{4,}+(?!\w)|(?<!\w)\d\d?:\d\d|(?<![\d.])\d{3,}+(?![\d.])"
+    r"|(?<!\w)[0-9a-f]{2}(?= [0-9a-f]{2}(?!\w)))|^\s*+#\s*+(?:define|include|ifn?def|endif|pragma)(?!\w))"
 )
 SENTENCE = r"[.!?。]+(?=\s|$)"
 #: Digits and signs that stand for letters inside of a word, and those letters; an 8 marks such a word but stays.
@@ -91,14 +96,22 @@ def _word_hashes(code: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nda
 
 
 @cache
-def _known() -> dict[str, np.ndarray]:
-    def hashes(words: frozenset[str]) -> np.ndarray:
-        listed = sorted(words)
-        code = np.array([ord(c) for c in "".join(listed)], np.uint32)
-        end = np.cumsum([len(w) for w in listed])
-        return _word_hashes(code, end - [len(w) for w in listed], end)
+def _known() -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all function words in order, and a bit for each language that has the word."""
+    listed = sorted(EVERY)
+    code = np.array([ord(c) for c in "".join(listed)], np.uint32)
+    end = np.cumsum([len(w) for w in listed])
+    hashes = _word_hashes(code, end - [len(w) for w in listed], end)
+    bits = np.array([sum((w in words) << i for i, words in enumerate(WORDS.values())) for w in listed], np.uint8)
+    order = np.argsort(hashes)
+    return hashes[order], bits[order]
 
-    return {lang: hashes(words) for lang, words in [*WORDS.items(), ("", EVERY)]}
+
+def _languages(word: np.ndarray) -> np.ndarray:
+    """The bits of the languages that have each hashed word as a function word."""
+    hashes, bits = _known()
+    at = np.minimum(np.searchsorted(hashes, word), len(hashes) - 1)
+    return np.where(hashes[at] == word, bits[at], 0)
 
 
 def _tally(page: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -136,9 +149,10 @@ def page_features(texts: pd.Series, links: np.ndarray, code_marks: np.ndarray, s
     start, end = _runs(kind & 1 > 0, page)
     word, where, size = _word_hashes(code, start, end), page[start] if len(start) else start, end - start
     n = by(where)
-    hits = np.stack([by(where, np.isin(word, _known()[lang])) for lang in WORDS])
+    tongues = _languages(word)
+    is_function = tongues > 0
+    hits = np.stack([by(where[is_function], tongues[is_function] >> i & 1) for i in range(len(WORDS))])
     told = np.where((n > 0) & (hits.max(0) >= 0.12 * n), np.array(list(WORDS))[hits.argmax(0)], "")
-    is_function = np.isin(word, _known()[""])
     low, high = _runs(~is_function, where)
     bare = by(where[low] if len(low) else low, np.where(high - low >= 6, high - low, 0))
     pair = (where[1:] == where[:-1]) & ~is_function[1:] & ~is_function[:-1] & (size[1:] > 2) & (size[:-1] > 2)
@@ -172,7 +186,7 @@ def _plain(text: Column) -> Column:
     @F.pandas_udf("string")
     def plain(texts: pd.Series) -> pd.Series:
         spelled = (html.unescape(t) if "&" in t else t for t in texts)
-        return pd.Series([t if t.isascii() else unicodedata.normalize("NFKC", t).translate(INVISIBLE) for t in spelled], dtype=object)
+        return pd.Series([t if t.isascii() else INVISIBLE.sub("", unicodedata.normalize("NFKC", t)) for t in spelled], dtype=object)
 
     return plain(text)
 
@@ -202,7 +216,8 @@ def page_vectors(docs: DataFrame, key: str = "doc_id", text: str = "text", lang:
         _plain(F.regexp_replace(text, TAG, " ")).alias("_text"),
     )
     low = seen.withColumn("_text", F.lower("_text")).where(F.col("_text").rlike(r"\S"))
-    marked = low.withColumn("_text", F.regexp_replace(F.regexp_replace("_text", LINK, LINKED), NUMBERED, "] "))
+    linked = F.when(F.col("_text").rlike(MAYBE_LINK), F.regexp_replace("_text", LINK, LINKED)).otherwise(F.col("_text"))
+    marked = low.withColumn("_text", F.regexp_replace(linked, NUMBERED, "] "))
     clean = marked.withColumn("_clean", F.translate("_text", LINKED, " ")).withColumn("_links", F.length("_text") - F.length(F.translate("_text", LINKED, "")))
     counted = clean.select(key, "page", "_declared", "_clean", "_links", F.regexp_count("_clean", F.lit(CODE)).alias("_code"), F.regexp_count("_clean", F.lit(SENTENCE)).alias("_sentences"))
     return counted.mapInPandas(run, f"`{key}` {kind}, grp string, page string, " + ", ".join(f"{f} double" for f in FEATURES))

@@ -133,3 +133,11 @@ def test_c_functions_of_any_language(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
     got = sorted(tuple(r) for r in reference.s16_c_functions(spark, str(tmp_path)).collect())
     assert got == [(1, "f", "int f(int a)"), (2, "f", "int f(int a)"), (3, "f", "int f(int a)"), (4, "g", "unsigned long * g(void)")]
+
+
+def test_saved_documents_drop_malformed_pairs(spark, tmp_path):
+    lines = ['{"binary":{"name":"7"},"call_graph":{"edges":[["0x10","0x20"],["0x10"],[null,"0x20"],["0x10","0x20","0x30"],["x","0x20"]]}}', '{"functions":[{"address":"0x10","name":"f"},{"address":"?"}]}', "no json", ""]
+    spark.createDataFrame([(x,) for x in lines], "value string").write.text(str(tmp_path / "saved"))
+    found = io.read_analyses(spark, str(tmp_path / "saved"), wholetext=False)
+    assert [(r.caller, r.callee) for r in io.analysis_edges(found).collect()] == [(16, 32)]
+    assert [(r.address, r.name) for r in io.analysis_functions(found).collect()] == [(16, "f")]
